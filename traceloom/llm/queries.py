@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import exact_recipes, mixing, url_reputation
-from traceloom.llm.common import table
+from traceloom.llm import exact_recipes, mixing, packing, token_files, url_reputation
+from traceloom.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,14 +21,24 @@ def op4_exact_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_recipes.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_documents(token_files.write_blocks(table(spark, sf_dir, "documents"), Scratch(spark, "tokens")))
+
+
 def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_reputation": op1_url_reputation,
     "op4_exact_recipes": op4_exact_recipes,
+    "op5_token_files": op5_token_files,
     "op6_temperature_mix": op6_temperature_mix,
+    "op9_pattern_packing": op9_pattern_packing,
 }
 
 
