@@ -47,3 +47,16 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def range_bounds(keys: DataFrame, column: str, parts: int) -> tuple[list, list]:
+    """(least key, greatest key) of each of at most `parts` ranges of the keys, in order; nulls aside.
+
+    Only the key column is moved, and one row a range comes to the driver.
+    """
+    from pyspark.sql import functions as F
+
+    ranges = keys.select(F.col(column).alias("k")).filter("k is not null").repartitionByRange(parts, "k")
+    ends = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).collect()
+    ends.sort(key=lambda r: r["lo"])
+    return [r["lo"] for r in ends], [r["hi"] for r in ends]

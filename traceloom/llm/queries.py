@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import exact_recipes, mixing, packing, token_files, url_reputation
+from traceloom.llm import exact_recipes, feature_digest, language, mixing, packing, page_diff, token_files, url_reputation
 from traceloom.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(pages, url_reputation.labelled_outcomes(pages, table(spark, sf_dir, "labels")))
 
 
+def op2_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_recipes.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -29,15 +37,22 @@ def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_feature_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feature_digest.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_url_reputation": op1_url_reputation,
+    "op2_language_families": op2_language_families,
+    "op3_page_diff": op3_page_diff,
     "op4_exact_recipes": op4_exact_recipes,
     "op5_token_files": op5_token_files,
     "op6_temperature_mix": op6_temperature_mix,
+    "op8_feature_digest": op8_feature_digest,
     "op9_pattern_packing": op9_pattern_packing,
 }
 
