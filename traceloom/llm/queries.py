@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import exact_recipes, feature_digest, language, mixing, packing, page_diff, token_files, url_reputation
+from traceloom.llm import exact_recipes, feature_digest, language, mixing, near_dup, packing, page_diff, token_files, url_reputation
 from traceloom.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_groups(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op8_feature_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_digest.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op4_exact_recipes": op4_exact_recipes,
     "op5_token_files": op5_token_files,
     "op6_temperature_mix": op6_temperature_mix,
+    "op7_near_groups": op7_near_groups,
     "op8_feature_digest": op8_feature_digest,
     "op9_pattern_packing": op9_pattern_packing,
 }
