@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import exact_recipes, feature_digest, language, mixing, near_dup, packing, page_diff, token_files, url_reputation
+from traceloom.llm import exact_recipes, feature_digest, language, mixing, near_dup, packing, page_diff, suffix_dedup, token_files, url_reputation
 from traceloom.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_rows(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_language_families": op2_language_families,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op7_near_groups": op7_near_groups,
     "op8_feature_digest": op8_feature_digest,
     "op9_pattern_packing": op9_pattern_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 
