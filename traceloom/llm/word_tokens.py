@@ -1,19 +1,22 @@
 """Token ids of whole texts, each word encoded once.
 
 The tokenizer drops white space and never joins what it separates, so the pieces between ASCII white space
-can be encoded alone and remembered. A worker keeps at most MAX_WORDS words and then starts afresh.
+can be encoded alone and remembered. A worker keeps at most MAX_WORDS words; beyond that it forgets the less frequent half.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-MAX_WORDS = 400_000
+MAX_WORDS = 1_000_000
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=\s)")
 _END = b" "  # no word: stands for the id that ends a document
 
 
@@ -24,47 +27,66 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordEncoder(dict):
+    """From a word to its slot; lens and ids have each slot's ids, one slot after the other."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
         self[_END] = 0
         self.pending: list[bytes] = []
-        self.ids, self.lens = np.array([END_ID], np.uint32), np.array([1], np.int64)
+        self.ids, self.lens, self.hits = np.array([END_ID], np.uint32), np.array([1], np.int64), np.array([1], np.int64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = slot = len(self)
         self.pending.append(word)
         return slot
 
+    def forget(self) -> None:
+        """Keeps the more frequent half of the slots."""
+        words, keep = list(self), np.ones(len(self), bool)
+        keep[1:] = self.hits[1:] > max(1, int(np.partition(self.hits, -(MAX_WORDS // 2))[-(MAX_WORDS // 2)]))
+        self.ids = self.ids[np.repeat(keep, self.lens)]
+        self.lens, self.hits = self.lens[keep], self.hits[keep] // 2
+        self.clear()
+        self.update((words[i], k) for k, i in enumerate(np.flatnonzero(keep)))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each ended by END_ID; where each text starts, and the end)."""
         if len(self) > MAX_WORDS:
-            self.reset()
+            self.forget()
         words: list[bytes] = []
         ends = np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
-            words += text.encode().split()
+            words += _words(text)
             words.append(_END)
             ends[i] = len(words)
         slots = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.pending:
             new = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.pending], add_special_tokens=False)]
             self.lens = np.concatenate([self.lens, np.fromiter(map(len, new), np.int64, len(new))])
-            self.ids = np.concatenate([self.ids, *(np.array(x, np.uint32) for x in new)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.uint32)])
+            self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
             self.pending = []
+        self.hits += np.bincount(slots, minlength=len(self.hits))
         lens, firsts = self.lens[slots], (np.cumsum(self.lens) - self.lens)[slots]
         upto = np.cumsum(lens)
         ids = self.ids[np.repeat(firsts - (upto - lens), lens) + np.arange(upto[-1] if len(upto) else 0)]
         return ids, np.concatenate([[0], upto[ends - 1]])
 
 
+def _words(text: str) -> list[bytes]:
+    """Pieces of a text that give its ids one after the other.
+
+    Without the marks of special tokens, case does not count, and a stop or comma between a letter and white
+    space is a token of its own; so there are far fewer different pieces.
+    """
+    raw = text.encode()
+    return raw.split() if b"<|" in raw else _STOP.sub(rb" \1", raw.lower()).split()
+
+
 @cache
 def encoder(path: str) -> WordEncoder:
     """One a worker process."""
