@@ -108,3 +108,15 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, entropy_share: floa
     cut = placed.filter("_cut").withColumn("_run", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_in", F.col("_run") <= F.col("_left")).drop("_run")
     out = placed.filter("not _cut").withColumn("_in", F.col("_whole")).unionByName(cut)
     return out.select("doc_id", "source", "n_tokens", F.round("weight", TAU_DIGITS).alias("weight"), "block", "place", (F.col("epochs") + F.col("_in").cast("long")).alias("copies"))
+
+
+def realised(docs: DataFrame, budget_share: float = BUDGET_SHARE, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, seed: int = 7) -> DataFrame:
+    """docs, with all its columns, each row as often as the mixture takes it.
+
+    A null doc_id is matched like any other; rows that repeat a doc_id in one source are taken alike, by the smallest of their counts.
+    """
+    taken = mix(docs, budget_share, entropy_share, max_repeats, seed)
+    taken = taken.groupBy(F.col("doc_id").alias("_tl_id"), F.col("source").alias("_tl_source")).agg(F.min("copies").cast("int").alias("_tl_copies"))
+    joined = docs.join(taken.filter("_tl_copies > 0"), docs["doc_id"].eqNullSafe(F.col("_tl_id")) & docs["source"].eqNullSafe(F.col("_tl_source")))
+    repeated = joined.withColumn("_tl_nth", F.explode(F.sequence(F.lit(1), F.col("_tl_copies"))))
+    return repeated.select(*[docs[c] for c in docs.columns])
