@@ -1,3 +1,65 @@
-STAGES = []
-ORACLE_SQL = None
-run = None
+"""The corpus pipeline: language, exact copies, near copies, mixture, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
+next stage's docs; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from traceloom.llm import exact_recipes, language, mixing, near_dup, packing
+from traceloom.llm.common import Scratch, table
+
+#: The mixture takes this share of the tokens that are left, no document twice.
+MIX_BUDGET, MIX_REPEATS = 0.9, 1.0
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go."""
+    return language.accepted(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one of the largest doc_id stays."""
+    return exact_recipes.deduplicate(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the one of the least doc_id stays."""
+    return near_dup.one_of_each(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are thinned towards the flattest mixture that needs no repeats."""
+    return mixing.realised(docs, budget_share=MIX_BUDGET, max_repeats=MIX_REPEATS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequence and offset."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mix", source_mix),
+    ("pack_sequences", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = scratch.save(docs, name)
+    return docs
+
+
+#: SQL can express neither the machines of the first stage nor the tokenizer of the last.
+ORACLE_SQL: str | None = None
