@@ -1,2 +1,464 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""The catalogue of contract queries: each operator over a projection of the fixture tables, with SQL for the same rows.
+
+events are a record stack (computation = user, newest by event_id) and an event stream; region, nation, customer,
+orders and lineitem are a span tree; documents are content-addressed values, labels their roots and overlay;
+orders are runs of customers; conversations are ordered traces; pages are texts to extract from.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from traceloom.functions import formats, keys, versions
+from traceloom.operators import lifecycle, lookup, memo_map, spans
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as records of computations."""
+    error = F.when(F.col("event_type") == "error", F.lit("error"))
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("comp_id"), F.col("event_id").alias("record_id"), F.col("event_type").alias("version"), error.alias("error"),
+        F.col("props").alias("body_hash"), F.sha2(F.concat("event_type", "props"), 256).alias("result_hash"), "value", micros(F.col("ts")).alias("ts_created"),
+    )
+
+
+def micros(ts):
+    return F.unix_micros(ts.cast("timestamp"))
+
+
+def cents(amount):
+    return F.round(amount * 100).cast("bigint")
+
+
+MICROS = "epoch_us(ts)"
+
+
+# Looking up.
+
+
+@query("""SELECT user_id AS comp_id, event_id AS record_id, event_type AS version, epoch_us(ts) AS ts_created
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type <> 'error') WHERE n = 1""")
+def stack_latest_ok(spark, sf_dir):
+    """The newest record without error of each computation."""
+    return lookup.latest(stack(spark, sf_dir)).select("comp_id", "record_id", "version", "ts_created")
+
+
+@query("""SELECT user_id AS comp_id, event_id AS record_id, props AS body_hash
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'purchase') WHERE n = 1""")
+def stack_latest_version(spark, sf_dir):
+    """The newest record of one version."""
+    return lookup.latest(stack(spark, sf_dir), version="purchase").select("comp_id", "record_id", "body_hash")
+
+
+@query("""SELECT user_id AS comp_id, event_id AS record_id, event_type AS version
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE props = '{"k": 7}' AND event_type <> 'error') WHERE n = 1""")
+def stack_latest_body(spark, sf_dir):
+    """The newest record made by one code."""
+    where = lookup.memo_predicate(body_hash='{"k": 7}') & F.col("error").isNull()
+    return lookup.newest(stack(spark, sf_dir), ["comp_id"], where=where).select("comp_id", "record_id", "version")
+
+
+@query("""SELECT comp_id, record_id, nth, version FROM (SELECT user_id AS comp_id, event_id AS record_id, event_type AS version,
+row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 3""")
+def stack_iter_top3(spark, sf_dir):
+    """The three newest records of each computation, errors too: a report of that length."""
+    top = lookup.newest_first(stack(spark, sf_dir), ["comp_id"], most=3)
+    return top.select("comp_id", "record_id", F.col("nth").cast("bigint").alias("nth"), "version")
+
+
+@query("""SELECT user_id AS comp_id, event_id AS record_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events)""")
+def stack_history(spark, sf_dir):
+    """Each computation's records, newest first."""
+    return lookup.newest_first(stack(spark, sf_dir), ["comp_id"]).select("comp_id", "record_id", F.col("nth").cast("bigint").alias("nth"))
+
+
+@query("""SELECT user_id, event_type, count(*) AS n,
+sha256('{"args":{"__dict__":{"event_type":"' || event_type || '","user_id":' || user_id || '}},"identity":"emit"}') AS comp_id FROM events GROUP BY user_id, event_type""")
+def comp_id(spark, sf_dir):
+    """Computation keys of calls, and how often each was made."""
+    calls = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return calls.withColumn("comp_id", keys.comp_id(calls, "emit", ["user_id", "event_type"]))
+
+
+@query("""SELECT o_custkey AS comp_id, o_orderkey AS record_id, n_dangling FROM orders JOIN
+(SELECT l_orderkey, count(*) AS n_dangling FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) GROUP BY l_orderkey) ON o_orderkey = l_orderkey""")
+def cas_dangling(spark, sf_dir):
+    """Records with children that are gone: orders with lines whose part is not stored."""
+    stored = table(spark, sf_dir, "part").filter("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
+    gone = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(stored, "l_partkey", "left_anti").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_dangling"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    return orders.join(gone, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("comp_id"), F.col("o_orderkey").alias("record_id"), "n_dangling")
+
+
+@query("""SELECT comp_id, record_id FROM (SELECT o_custkey AS comp_id, o_orderkey AS record_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders
+WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5))) WHERE n = 1""")
+def stack_find_intact(spark, sf_dir):
+    """The newest record of each computation all of whose children are stored."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("comp_id"), F.col("o_orderkey").alias("record_id"), F.col("o_orderdate").alias("ts_created"))
+    children = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("child_record_id"))
+    stored = table(spark, sf_dir, "part").filter("p_size > 5").select(F.col("p_partkey").alias("record_id"))
+    return lookup.newest(lookup.without_dangling(orders, children, stored), ["comp_id"]).select("comp_id", "record_id")
+
+
+@query("""SELECT doc_id, coalesce(CAST(l.quality AS BIGINT), n_chars) AS value, CASE WHEN l.doc_id IS NULL THEN 'recalled' ELSE 'carried' END AS origin
+FROM documents LEFT JOIN labels l USING (doc_id)""")
+def overlay_resolve(spark, sf_dir):
+    """Values with an overlay in front of them."""
+    base = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    pins = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("_pin"), F.lit("carried").alias("_origin"))
+    return base.join(pins, "doc_id", "left").select("doc_id", F.coalesce("_pin", "n_chars").alias("value"), F.coalesce("_origin", F.lit("recalled")).alias("origin"))
+
+
+@query("""SELECT u.user_id AS comp_id, coalesce(l.doc_id, h.event_id) AS record_id, CASE WHEN l.doc_id IS NOT NULL THEN 'carried' WHEN h.event_id IS NOT NULL THEN 'recalled' ELSE 'created' END AS origin
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN labels l ON l.doc_id = u.user_id
+LEFT JOIN (SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'purchase' AND value > 150) WHERE n = 1) h ON h.user_id = u.user_id""")
+def resolve_origin(spark, sf_dir):
+    """Carried, recalled or created, for each computation asked for."""
+    records = stack(spark, sf_dir)
+    found = lookup.newest(records, ["comp_id"], where=(F.col("version") == "purchase") & (F.col("value") > 150))
+    pins = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("comp_id"), F.col("doc_id").alias("donor_record_id"))
+    return lookup.resolve(records.select("comp_id").distinct(), found, pins).select("comp_id", "record_id", "origin")
+
+
+@query("""SELECT user_id AS comp_id, event_type AS version, count(*) AS records, count(*) FILTER (WHERE event_type = 'error') AS errors, count(DISTINCT event_type || props) AS results,
+count(DISTINCT event_type || props) > 1 AS nondeterministic FROM events GROUP BY user_id, event_type""")
+def nondeterminism(spark, sf_dir):
+    """Digest of each computation's versions: records, errors, different results."""
+    digest = lookup.result_digest(stack(spark, sf_dir).withColumnRenamed("value", "duration"))
+    return digest.drop("durations")
+
+
+# Content-addressed values and garbage.
+
+
+@query("""SELECT sha256(text) AS content_hash, count(*) AS refs, CAST(max(length(text)) AS BIGINT) AS size, min(doc_id) AS first_doc FROM documents GROUP BY sha256(text)""")
+def cas_dedup(spark, sf_dir):
+    """Values stored once, by content."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", keys.content_hash(F.col("text")).alias("content_hash"), F.length("text").cast("bigint").alias("size"))
+    return docs.groupBy("content_hash").agg(F.count(F.lit(1)).alias("refs"), F.max("size").alias("size"), F.min("doc_id").alias("first_doc"))
+
+
+@query("""SELECT CAST(sum(length(text)) AS BIGINT) AS size, CAST((SELECT sum(length(text)) FROM (SELECT DISTINCT text FROM documents)) AS BIGINT) AS own_size, count(*) AS refs, count(DISTINCT text) AS blobs FROM documents""")
+def cas_sizes(spark, sf_dir):
+    """What all values take, and what is stored of them."""
+    sizes = cas_dedup(spark, sf_dir)
+    return sizes.agg(F.sum(F.col("size") * F.col("refs")).alias("size"), F.sum("size").alias("own_size"), F.sum("refs").alias("refs"), F.count(F.lit(1)).alias("blobs"))
+
+
+def _blobs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("record_id"), keys.content_hash(F.col("text")).alias("result_hash"))
+    live = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("record_id"))
+    return lifecycle.sweep(docs, docs.select(F.col("result_hash").alias("content_hash")).distinct(), live)
+
+
+@query("""SELECT DISTINCT sha256(text) AS content_hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))""")
+def gc_sweep(spark, sf_dir):
+    """Values that nothing live refers to."""
+    return _blobs(spark, sf_dir)["removed_blobs"]
+
+
+@query("""SELECT DISTINCT sha256(text) AS content_hash FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""")
+def gc_live(spark, sf_dir):
+    """Values that stay."""
+    return _blobs(spark, sf_dir)["blobs"]
+
+
+def tree_edges(spark: SparkSession, sf_dir: str, lines: bool = True) -> DataFrame:
+    """child, parent of the span tree; nodes are named by level and key."""
+    name = lambda level, *c: F.concat(F.lit(level), F.concat_ws(".", *[F.col(x).cast("string") for x in c]))
+    edges = [
+        table(spark, sf_dir, "nation").select(name("n", "n_nationkey").alias("child"), name("r", "n_regionkey").alias("parent")),
+        table(spark, sf_dir, "customer").select(name("c", "c_custkey").alias("child"), name("n", "c_nationkey").alias("parent")),
+        table(spark, sf_dir, "orders").select(name("o", "o_orderkey").alias("child"), name("c", "o_custkey").alias("parent")),
+    ]
+    if lines:
+        edges.append(table(spark, sf_dir, "lineitem").select(name("l", "l_orderkey", "l_linenumber").alias("child"), name("o", "l_orderkey").alias("parent")).distinct())
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+@query("""WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey IN (0, 2)), c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT * FROM n)),
+o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT * FROM c)), l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT * FROM o))
+SELECT 'r' AS level, 2::BIGINT AS live UNION ALL SELECT 'n', count(*) FROM n UNION ALL SELECT 'c', count(*) FROM c UNION ALL SELECT 'o', count(*) FROM o UNION ALL SELECT 'l', count(*) FROM l""")
+def gc_mark_closure(spark, sf_dir):
+    """How many nodes of each level the roots reach."""
+    roots = table(spark, sf_dir, "region").filter("r_regionkey in (0, 2)").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
+    edges = tree_edges(spark, sf_dir).select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+    return lifecycle.reachable(roots, edges).groupBy(F.substring("node", 1, 1).alias("level")).agg(F.count(F.lit(1)).alias("live"))
+
+
+# Spans.
+
+
+@query("""SELECT user_id, event_id AS spawn, ended FROM (SELECT user_id, event_id, event_type,
+min(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ended FROM events) WHERE event_type = 'signup'""")
+def span_pairs(spark, sf_dir):
+    """Each spawn with the end that follows it."""
+    after = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
+    ended = F.min(F.when(F.col("event_type") == "purchase", F.col("event_id"))).over(after)
+    return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type").withColumn("ended", ended).filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("spawn"), "ended")
+
+
+def span_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as lifecycle events: a run a hundred users, a span a user."""
+    kind = F.when(F.col("event_type") == "signup", "spawn").when(F.col("event_type") == "view", "start").when(F.col("event_type") == "click", "cancel").when(F.col("event_type") == "purchase", "end").otherwise("error")
+    none = lambda t: F.lit(None).cast(t)
+    return table(spark, sf_dir, "events").select(
+        F.floor(F.col("user_id") / 100).cast("string").alias("run_id"), F.col("event_id").alias("ord"), kind.alias("e"), F.col("user_id").cast("int").alias("seq"),
+        none("int").alias("parent_seq"), F.col("props").alias("name"), none("string").alias("args"), F.col("event_id").cast("double").alias("ts"), (F.col("value") > 50).alias("cached"),
+        none("string").alias("record_path"), none("string").alias("origin"), F.col("props").alias("err"),
+        none("bigint").alias("size"), none("bigint").alias("own_size"), F.when(F.col("event_type").isin("purchase", "error"), F.col("value")).alias("duration"), none("double").alias("own_duration"), none("double").alias("cached_duration"),
+    )
+
+
+@query("""WITH born AS (SELECT user_id, max(event_id) AS b FROM events WHERE event_type = 'signup' GROUP BY user_id),
+own AS (SELECT e.* FROM events e JOIN born USING (user_id) WHERE event_id >= b),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM own) WHERE n = 1)
+SELECT l.user_id AS seq, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'error' THEN 'error' WHEN 'click' THEN 'cancelled' ELSE CASE WHEN value > 50 THEN 'cached' ELSE 'ok' END END AS status,
+b AS spawned, (SELECT max(event_id) FROM own o WHERE o.user_id = l.user_id AND event_type = 'view') AS started,
+(SELECT max(event_id) FROM own o WHERE o.user_id = l.user_id AND event_type IN ('purchase', 'error', 'click')) AS ended FROM last l JOIN born USING (user_id)""")
+def span_status(spark, sf_dir):
+    """Spans as their events leave them."""
+    reduced = spans.reduce_spans(span_events(spark, sf_dir))
+    return reduced.select(F.col("seq").cast("bigint").alias("seq"), "status", F.col("spawn_ts").cast("bigint").alias("spawned"), F.col("start_ts").cast("bigint").alias("started"), F.col("end_ts").cast("bigint").alias("ended"))
+
+
+@query("""SELECT c_nationkey AS nation, CASE max(CASE o_orderstatus WHEN 'F' THEN 5 WHEN 'P' THEN 3 ELSE 0 END) WHEN 5 THEN 'error' WHEN 3 THEN 'running' ELSE 'ok' END AS effective
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey""")
+def span_effective_status(spark, sf_dir):
+    """The weightiest status of a group."""
+    status = F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "P", "running").otherwise("ok")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", status.alias("status"))
+    nations = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
+    return orders.join(nations, "o_custkey").groupBy("nation").agg(F.max_by("status", spans.status_weight(F.col("status"))).alias("effective"))
+
+
+@query("""SELECT 0::BIGINT AS depth, count(*) AS nodes FROM region UNION ALL SELECT 1, count(*) FROM nation UNION ALL SELECT 2, count(*) FROM customer UNION ALL SELECT 3, count(*) FROM orders
+UNION ALL SELECT 4, count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)""")
+def span_depth(spark, sf_dir):
+    """How many spans stand at each depth."""
+    roots = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
+    return spans.depths(tree_edges(spark, sf_dir), roots).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query("""SELECT 'r' || n_regionkey AS anc, count(*) AS spans, max(3)::BIGINT AS farthest FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey""")
+def span_closure(spark, sf_dir):
+    """How many orders lie below each region, and how far."""
+    pairs = spans.closure(tree_edges(spark, sf_dir, lines=False))
+    return pairs.filter("substring(anc, 1, 1) = 'r' and substring(desc, 1, 1) = 'o'").groupBy("anc").agg(F.count(F.lit(1)).alias("spans"), F.max("dist").alias("farthest"))
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_custkey, c_nationkey, n_regionkey, cast(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT 'o' || o_orderkey AS anc, cast(sum(cents) AS BIGINT) AS amount FROM b GROUP BY o_orderkey UNION ALL SELECT 'c' || o_custkey, cast(sum(cents) AS BIGINT) FROM b GROUP BY o_custkey
+UNION ALL SELECT 'n' || c_nationkey, cast(sum(cents) AS BIGINT) FROM b GROUP BY c_nationkey UNION ALL SELECT 'r' || n_regionkey, cast(sum(cents) AS BIGINT) FROM b GROUP BY n_regionkey""")
+def rolled_cost(spark, sf_dir):
+    """Costs of each node and all below it."""
+    own = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("node"), F.lit("cents").alias("key"), cents(F.col("l_extendedprice")).alias("amount"))
+    return spans.roll_up(own, spans.closure(tree_edges(spark, sf_dir, lines=False))).select("anc", "amount")
+
+
+def waiting_marks(spark, sf_dir):
+    step = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", -1)
+    return table(spark, sf_dir, "events").withColumn("step", step).filter("step is not null").select("user_id", "event_id", micros(F.col("ts")).alias("at"), "step")
+
+
+@query("""SELECT user_id, cast(sum(CASE WHEN level > 0 THEN coalesce(nxt - t, 0) ELSE 0 END) AS BIGINT) AS active FROM (SELECT user_id, epoch_us(ts) AS t,
+lead(epoch_us(ts)) OVER w AS nxt, sum(CASE event_type WHEN 'view' THEN 1 ELSE -1 END) OVER (w ROWS UNBOUNDED PRECEDING) AS level
+FROM events WHERE event_type IN ('view', 'click') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) GROUP BY user_id""")
+def suspended_time(spark, sf_dir):
+    """How long something was open: a sweep over beginnings and ends."""
+    found = spans.active_time(waiting_marks(spark, sf_dir), ["user_id"], "at", "step", ["at", "event_id"])
+    return found.select("user_id", F.coalesce("active", F.lit(0)).alias("active"))
+
+
+@query("""SELECT user_id, cast(max(level) AS BIGINT) AS peak FROM (SELECT user_id, sum(CASE event_type WHEN 'view' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS level
+FROM events WHERE event_type IN ('view', 'click')) GROUP BY user_id""")
+def concurrency_peak(spark, sf_dir):
+    """The most that was open at once."""
+    return spans.peak(waiting_marks(spark, sf_dir), ["user_id"], "step", ["at", "event_id"])
+
+
+@query("""SELECT user_id, event_id, epoch_us(ts) - coalesce(lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), epoch_us(ts)) AS delta FROM events""")
+def trace_delta(spark, sf_dir):
+    """Time since the trace before."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", micros(F.col("ts")).alias("at"))
+    return spans.deltas(rows, ["user_id"], "at", ["at", "event_id"]).select("user_id", "event_id", "delta")
+
+
+@query("""SELECT event_type AS e, count(*) AS n, count(*) FILTER (WHERE value > 50) AS cached, min(event_id) AS first_ord FROM events GROUP BY event_type""")
+def exec_counts(spark, sf_dir):
+    """Events by kind."""
+    return span_counts(table(spark, sf_dir, "events"))
+
+
+def span_counts(events: DataFrame) -> DataFrame:
+    return events.groupBy(F.col("event_type").alias("e")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("cached"), F.min("event_id").alias("first_ord"))
+
+
+# Runs.
+
+
+def order_runs(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "ok").otherwise("failed")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("entry"), F.col("o_orderdate").alias("started_at"), status.alias("status"))
+
+
+@query("""SELECT o_orderkey AS run_id, o_custkey AS entry, coalesce(steps, 0) AS steps, row_number() OVER w = 1 AS is_latest,
+o_orderstatus = 'F' AND row_number() OVER (PARTITION BY o_custkey, o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 AS is_latest_ok
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS steps FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)""")
+def run_latest(spark, sf_dir):
+    """Runs with their steps, and which are their entry's newest."""
+    steps = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"))
+    return lifecycle.runs_listed(order_runs(spark, sf_dir), steps).select("run_id", "entry", "steps", "is_latest", "is_latest_ok")
+
+
+@query("""SELECT run_id, entry FROM (SELECT o_orderkey AS run_id, o_custkey AS entry, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
+WHERE n > 1 AND o_orderdate < TIMESTAMP '1997-01-01'""")
+def run_retention(spark, sf_dir):
+    """Runs that a date limit removes; each entry's newest stays."""
+    steps = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"))
+    listed = lifecycle.runs_listed(order_runs(spark, sf_dir), steps)
+    return lifecycle.expired(listed, "1997-01-01 00:00:00").select("run_id", "entry")
+
+
+@query("""SELECT o_custkey AS entry, count(*) AS runs, min(o_orderkey) AS first_run FROM orders GROUP BY o_custkey""")
+def runs_per_entry(spark, sf_dir):
+    return order_runs(spark, sf_dir).groupBy("entry").agg(F.count(F.lit(1)).alias("runs"), F.min("run_id").alias("first_run"))
+
+
+@query("""SELECT conv_id AS run_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS ordinal, role AS name FROM conversations""")
+def step_ordinal(spark, sf_dir):
+    """Steps numbered within their run."""
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("bigint")
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run_id"), "turn", nth.alias("ordinal"), F.col("role").alias("name"))
+
+
+@query("""SELECT o_custkey AS entry, epoch_us(o_orderdate) AS at, 'spawn' AS kind, o_orderkey AS ref, 0::BIGINT AS nth FROM orders
+UNION ALL SELECT o_custkey, epoch_us(l_shipdate), 'end', l_orderkey, cast(l_linenumber AS BIGINT) FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def timeline(spark, sf_dir):
+    """Two streams of events as one."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    spawned = orders.select(F.col("o_custkey").alias("entry"), micros(F.col("o_orderdate")).alias("at"), F.lit("spawn").alias("kind"), F.col("o_orderkey").alias("ref"), F.lit(0).cast("bigint").alias("nth"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    ended = lines.select(F.col("o_custkey").alias("entry"), micros(F.col("l_shipdate")).alias("at"), F.lit("end").alias("kind"), F.col("l_orderkey").alias("ref"), F.col("l_linenumber").cast("bigint").alias("nth"))
+    return spawned.unionByName(ended)
+
+
+@query("""SELECT user_id, session, count(*) AS events, min(event_id) AS first_event, max(epoch_us(ts)) - min(epoch_us(ts)) AS length FROM (SELECT *, cast(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session
+FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session""")
+def sessions(spark, sf_dir):
+    """Events with gaps of six hours at most, in one session."""
+    w = Window.partitionBy("user_id").orderBy("at", "event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", micros(F.col("ts")).alias("at"))
+    fresh = F.when(F.col("at") - F.lag("at").over(w) <= 6 * 3600 * 1_000_000, 0).otherwise(1)
+    rows = rows.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event"), (F.max("at") - F.min("at")).alias("length"))
+
+
+# Texts and versions.
+
+
+@query("""SELECT p_partkey, p_size || '.' || p_partkey % 10 || '.0' AS version FROM part WHERE (p_size > 10 OR (p_size = 10 AND p_partkey % 10 >= 2)) AND p_size < 20""")
+def semver_match(spark, sf_dir):
+    """Versions in a range."""
+    version = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string"), F.lit("0"))
+    return table(spark, sf_dir, "part").select("p_partkey", version.alias("version")).filter(versions.satisfies(F.col("version"), ">=10.2.0,<20.0.0"))
+
+
+@query("""SELECT p_brand AS comp_id, max(p_partkey) AS record_id FROM part WHERE p_size >= 10 AND p_size < 20 GROUP BY p_brand""")
+def semver_latest(spark, sf_dir):
+    """The newest record whose version is in a range: newest by time, not by version."""
+    version = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string"), F.lit("0"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("comp_id"), F.col("p_partkey").alias("record_id"), version.alias("version"))
+    return lookup.newest(rows, ["comp_id"], ("record_id",), versions.satisfies(F.col("version"), ">=10.0.0,<20.0.0")).select("comp_id", "record_id")
+
+
+@query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS BIGINT) AS links FROM pages""")
+def page_extract(spark, sf_dir):
+    """Titles and links."""
+    html = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", formats.page_title(html).alias("title"), F.size(formats.page_links(html)).cast("bigint").alias("links"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")
+def props_extract(spark, sf_dir):
+    """A field of a JSON column."""
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) <= 30 THEN text ELSE left(text, 27) || '...' END AS summary,
+replace(replace(replace(left(text, 20), '/', '.'), chr(92), '.'), ' ', '_') AS name, left(sha256(text), 8) AS short_hash FROM documents""")
+def text_forms(spark, sf_dir):
+    """Summaries, safe names and short hashes."""
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", formats.shortened(text).alias("summary"), formats.safe_name(F.substring(text, 1, 20)).alias("name"), keys.short_hash(keys.content_hash(text)).alias("short_hash"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, cast(l_quantity AS BIGINT) AS seconds, CASE WHEN l_quantity < 1 THEN (l_quantity * 1000)::BIGINT || 'ms' ELSE l_quantity::BIGINT || '.0s' END AS duration,
+CASE WHEN l_quantity * 100 < 60 THEN (l_quantity * 100)::BIGINT || 's' WHEN l_quantity * 100 < 3600 THEN (l_quantity * 100)::BIGINT // 60 || 'm' ELSE (l_quantity * 100)::BIGINT // 3600 || 'h' END AS age FROM lineitem""")
+def time_forms(spark, sf_dir):
+    """Durations and ages as text."""
+    q = F.col("l_quantity")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", q.cast("bigint").alias("seconds"), formats.duration(q).alias("duration"), formats.age(q * 100).alias("age"))
+
+
+@query("""SELECT turn, role, CASE role WHEN 'user' THEN 'red' WHEN 'system' THEN 'yellow' ELSE 'dim' END AS colour, '[' || repeat('█', cast(10 * (turn % 11) // 10 AS INT)) || repeat('░', 10 - cast(10 * (turn % 11) // 10 AS INT)) || '] ' || role || ' (' || turn % 11 || '/10) {turn=' || turn || '} (by=' || role || ')' AS line, count(*) AS n
+FROM conversations GROUP BY turn, role""")
+def trace_lines(spark, sf_dir):
+    """Trace events as text: progress, message, level."""
+    rows = table(spark, sf_dir, "conversations").groupBy("turn", "role").agg(F.count(F.lit(1)).alias("n"))
+    level = F.when(F.col("role") == "user", "error").when(F.col("role") == "system", "warn").otherwise("info")
+    progress = F.array((F.col("turn") % 11).cast("int"), F.lit(10))
+    line = formats.trace_line(F.col("role"), F.lit(None).cast("string"), progress, F.create_map(F.lit("turn"), F.col("turn").cast("double")), F.create_map(F.lit("by"), F.col("role")))
+    return rows.select("turn", "role", formats.level_colour(level).alias("colour"), line.alias("line"), "n")
+
+
+# Computing what is missing; trees of recalled records.
+
+
+@query("""SELECT event_id, user_id * 2 + 1 AS result, CASE WHEN user_id % 3 = 0 THEN 'recalled' ELSE 'created' END AS origin FROM events""")
+def memo_mapped(spark, sf_dir):
+    """A function over a table: hits are recalled, the rest is computed once a computation."""
+    args = table(spark, sf_dir, "events").select("event_id", "user_id")
+    key = keys.comp_id(args, "double", ["user_id"])
+    known = args.select("user_id").distinct().filter("user_id % 3 = 0")
+    records = known.select(keys.comp_id(known, "double", ["user_id"]).alias("comp_id"), F.lit("old").alias("record_id"), (F.col("user_id") * 2 + 1).cast("string").alias("result"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("ts_created"))
+    mapped, _ = memo_map.memo_map(args, key, records, _double)
+    return mapped.select("event_id", F.col("result").cast("bigint").alias("result"), "origin")
+
+
+def _double(row: dict) -> str:
+    return str(row["user_id"] * 2 + 1)
+
+
+@query()
+def stitch(spark, sf_dir):
+    """A recalled record's tree, numbered depth first; a child with two parents comes twice."""
+    edges = tree_edges(spark, sf_dir, lines=False).filter("substring(parent, 1, 1) in ('r', 'n')")
+    index = F.row_number().over(Window.partitionBy("parent").orderBy("child"))
+    children = edges.select(F.col("parent").alias("record_id"), index.alias("child_index"), F.col("child").alias("child_record_id"))
+    return spans.stitch(children, "r1").drop("path")
