@@ -73,7 +73,7 @@ def _op1_sql() -> str:
 
     def rho(level: str) -> str:
         spread = "(P - K / N * K) / nullif(K / N * (1 - K / N), 0) - (J - 1)"
-        rho = f"least(greatest(coalesce(({spread}) / nullif(N - S / N - (J - 1), 0), {u.MIN_RHO}), {u.MIN_RHO}), {u.MAX_RHO})"
+        rho = f"least(greatest(coalesce(({spread}) / nullif(N - S / N - (J - 1), 0), CASE WHEN N IS NULL THEN {u.MAX_RHO} ELSE {u.MIN_RHO} END), {u.MIN_RHO}), {u.MAX_RHO})"
         sums = "sum(n)::DOUBLE N, sum(k)::DOUBLE K, count(*)::DOUBLE J, sum(n::DOUBLE * n) S, sum(k::DOUBLE * k / n) P"
         return f"SELECT (1 - r) / r AS m, mu FROM (SELECT {rho} AS r, coalesce((K + 0.5) / (N + 1), 0.5) AS mu FROM (SELECT {sums} FROM {level}))"
 

@@ -65,7 +65,7 @@ def _strength(groups: DataFrame) -> DataFrame:
     mu = F.col("K") / F.col("N")
     spread = F.try_divide(F.col("P") - mu * F.col("K"), mu * (1 - mu)) - (F.col("J") - 1)
     rho = F.try_divide(spread, F.col("N") - F.col("S") / F.col("N") - (F.col("J") - 1))
-    rho = F.least(F.greatest(F.coalesce(rho, F.lit(MIN_RHO)), F.lit(MIN_RHO)), F.lit(MAX_RHO))
+    rho = F.least(F.greatest(F.coalesce(rho, F.when(F.col("N").isNull(), MAX_RHO).otherwise(MIN_RHO)), F.lit(MIN_RHO)), F.lit(MAX_RHO))
     return total.select(((1 - rho) / rho).alias("m"), F.coalesce((F.col("K") + 0.5) / (F.col("N") + 1), F.lit(0.5)).alias("mu"))
 
 
