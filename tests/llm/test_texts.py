@@ -58,6 +58,7 @@ NAV = "<nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='cookie-notic
         ("<nav>unclosed <article><p>in</p></article>", "in"), ("<article><header><h1>T</h1></header><p>x</p><section class='comments'><p>nice</p></section></article>", "T\nx"),
         ("<main><p>x</p><form><input>Mail</form><aside>More</aside></main><p hidden>no</p>", "x"), ("<p>cut <b", "cut"), ("<table><tr><td>a</td><td>b</td></tr></table>", "a\nb"),
         ("<div role='navigation'>n</div><p style='display: none'>h</p><p>ok</p>", "ok"), ("<div class=ad><div>in</div>ad</div>rest", "rest"),
+        ("<div class='page-header'>S</div><article><div class='entry-header'><h1>T</h1></div><p>x</p><ol class='commentlist'><li>c</ol><div class='share-buttons'>Share</div></article>", "T\nx"),
     ],
 )
 def test_lines_by_markup(html, text):

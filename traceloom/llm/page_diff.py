@@ -37,7 +37,10 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 NAMES = frozenset(
     "ad ads advert adverts advertisement adbox banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies reply search share sharing sidebar site-footer site-header social sponsor sponsored subscribe toolbar widget widgets".split()
 )
-PARTS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie consent menu nav navbar navigation newsletter popup promo sidebar sponsor sponsored".split())
+PARTS = frozenset(
+    "ad ads advert adverts advertisement alert banner breadcrumb breadcrumbs cookie cookies consent gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar topbar widget".split()
+)
+OUTER_PARTS = frozenset("footer header".split())  # inside an article they name its own heading and end
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
@@ -47,13 +50,15 @@ MARKS = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _is_aside(attributes: str) -> bool:
-    """Whether its attributes call an element something that is left out."""
+def _is_aside(attributes: str, inside: bool) -> bool:
+    """Whether its attributes call an element, inside an article or not, something that is left out."""
     for name, value in MARKS.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if any(w in NAMES or not PARTS.isdisjoint(re.split("[-_]+", w)) for w in value.split()):
-                return True
+            for word in value.split():
+                parts = re.split("[-_]+", word)
+                if word in NAMES or not PARTS.isdisjoint(parts) or any(p.startswith("comment") for p in parts) or not inside and not OUTER_PARTS.isdisjoint(parts):
+                    return True
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
             return True
     return False
@@ -90,7 +95,7 @@ def lines(html: str) -> list[tuple[bool, str]]:
             continue
         if name in VOID or m[4].endswith("/"):
             continue
-        marked = bool(m[4]) and _is_aside(m[4])
+        marked = bool(m[4]) and _is_aside(m[4], own > 0)
         if skip:
             if name in ("article", "main") and not marked and not own:
                 skip = 0
