@@ -97,3 +97,21 @@ def result_digest(records: DataFrame) -> DataFrame:
         F.percentile_approx("duration", [0.5, 0.95]).alias("durations"),
         (F.countDistinct("result_hash") > 1).alias("nondeterministic"),
     )
+
+
+def child_records(children: DataFrame, records: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
+    """record_id, child_index and the child's record: by its pointer, or where that is missing by the older one.
+
+    legacy(record_id, child_index, child_record_id).
+    """
+    pointers = children.select("record_id", "child_index", "child_record_id")
+    if legacy is not None:
+        old = legacy.select("record_id", "child_index", F.col("child_record_id").alias("_old"))
+        pointers = pointers.join(old, ["record_id", "child_index"], "full").withColumn("child_record_id", F.coalesce("child_record_id", "_old")).drop("_old")
+    there = records.select(F.col("record_id").alias("child_record_id"), F.lit(True).alias("found"))
+    return pointers.join(there, "child_record_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def inferred_comp_id(comp_id: Column, path: Column) -> Column:
+    """A record's computation, from its folder's name where its metadata lack it."""
+    return F.coalesce(comp_id, F.nullif(F.regexp_extract(path, "/([0-9a-f]{64})/", 1), F.lit("")))

@@ -199,3 +199,55 @@ def stitch(children: DataFrame, root: str, first_seq: int = 1) -> DataFrame:
     up = numbered.select(F.col("path").alias("_up"), F.col("seq").alias("parent_seq"))
     numbered = numbered.withColumn("_up", F.when(F.size("path") > 0, F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))))
     return numbered.join(up, "_up", "left").select("seq", "parent_seq", "record_id", F.size("path").cast("bigint").alias("depth"), "path")
+
+
+def within(pairs: DataFrame, ancestor: str) -> DataFrame:
+    """desc: a node and all below it."""
+    return pairs.filter(F.col("anc") == ancestor).select("desc")
+
+
+def above_flagged(flagged: DataFrame, pairs: DataFrame) -> DataFrame:
+    """anc: nodes that have one of flagged(node) among themselves and what is below them."""
+    return pairs.join(flagged.select(F.col("node").alias("desc")), "desc", "left_semi").select("anc").distinct()
+
+
+def preorder(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, node, depth, nth: each tree depth first, siblings by name; a level a round."""
+    level = materialise(roots.select(F.col("node").alias("root"), "node", F.array("node").alias("path")), "order")
+    found = [level]
+    while True:
+        below = level.withColumnRenamed("node", "parent").join(edges, "parent").select("root", F.col("child").alias("node"), F.concat("path", F.array("child")).alias("path"))
+        level = materialise(below, "order")
+        if level.isEmpty():
+            break
+        found.append(level)
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    nth = F.row_number().over(Window.partitionBy("root").orderBy("path"))
+    return rows.select("root", "node", (F.size("path") - 1).cast("bigint").alias("depth"), nth.cast("bigint").alias("nth"))
+
+
+def merged_events(traces: DataFrame, spawns: DataFrame, key: str = "record_id") -> DataFrame:
+    """Traces and spawns of records as one ordered stream: by time, traces first at equal times, then in their own order."""
+    both = traces.withColumn("kind", F.lit("trace")).unionByName(spawns.withColumn("kind", F.lit("spawn")), allowMissingColumns=True)
+    order = Window.partitionBy(key).orderBy("ts", F.when(F.col("kind") == "trace", 0).otherwise(1), "ord")
+    return both.withColumn("place", F.row_number().over(order).cast("bigint"))
+
+
+def child_spans(children: DataFrame, start: Column, child_start: Column, child_end: Column) -> DataFrame:
+    """children with their times from their record's start on, not below zero."""
+    rel = lambda c: F.greatest(c - start, F.lit(0))
+    return children.withColumn("start_rel", rel(child_start)).withColumn("end_rel", rel(child_end))
+
+
+def elapsed(events: DataFrame, key: list[str], time: str) -> DataFrame:
+    """events with the time since their key's first."""
+    first = events.groupBy(*key).agg(F.min(time).alias("_first"))
+    return events.join(first, key).withColumn("elapsed", F.col(time) - F.col("_first")).drop("_first")
+
+
+def named(events: DataFrame, names: DataFrame) -> DataFrame:
+    """events with the name of their span, `task-{seq}` where none is known."""
+    known = names.select("run_id", "seq", F.col("name").alias("_name"))
+    return events.drop("name").join(known, ["run_id", "seq"], "left").withColumn("name", F.coalesce("_name", F.concat(F.lit("task-"), F.col("seq").cast("string")))).drop("_name")

@@ -319,6 +319,76 @@ def span_counts(events: DataFrame) -> DataFrame:
     return events.groupBy(F.col("event_type").alias("e")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("cached"), F.min("event_id").alias("first_ord"))
 
 
+@query("""SELECT 'n' || c_nationkey AS anc FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION
+SELECT 'c' || o_custkey FROM orders WHERE o_orderstatus = 'P' UNION SELECT 'o' || o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION
+SELECT 'r' || n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'))""")
+def span_flagged(spark, sf_dir):
+    """Spans with something awaiting among them or below."""
+    flagged = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    return spans.above_flagged(flagged, spans.closure(tree_edges(spark, sf_dir, lines=False)))
+
+
+@query("""WITH t AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0::BIGINT AS depth, ['r' || r_regionkey] AS path FROM region
+UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 1, ['r' || n_regionkey, 'n' || n_nationkey] FROM nation
+UNION ALL SELECT 'r' || n_regionkey, 'c' || c_custkey, 2, ['r' || n_regionkey, 'n' || n_nationkey, 'c' || c_custkey] FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT root, node, depth, row_number() OVER (PARTITION BY root ORDER BY path) AS nth FROM t""")
+def span_preorder(spark, sf_dir):
+    """Trees depth first."""
+    roots = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
+    return spans.preorder(tree_edges(spark, sf_dir, lines=False).filter("substring(child, 1, 1) <> 'o'"), roots)
+
+
+@query("""SELECT user_id AS record_id, event_id AS ord, CASE event_type WHEN 'signup' THEN 'spawn' ELSE 'trace' END AS kind,
+row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 3600000000, CASE event_type WHEN 'signup' THEN 1 ELSE 0 END, event_id) AS place FROM events WHERE event_type IN ('signup', 'view')""")
+def record_events(spark, sf_dir):
+    """Traces and spawns of a record in one order."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("record_id"), F.col("event_id").alias("ord"), F.floor(micros(F.col("ts")) / 3_600_000_000).alias("ts"), "event_type")
+    merged = spans.merged_events(rows.filter("event_type = 'view'").drop("event_type"), rows.filter("event_type = 'signup'").drop("event_type"))
+    return merged.select("record_id", "ord", "kind", "place")
+
+
+@query("""SELECT l_orderkey AS record_id, cast(l_linenumber AS BIGINT) AS child_index, greatest(0, epoch_us(l_shipdate) - epoch_us(o_orderdate)) AS start_rel, greatest(0, epoch_us(l_shipdate) + 1000 - epoch_us(o_orderdate)) AS end_rel
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def child_times(spark, sf_dir):
+    """Children's times from their record's start on."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), micros(F.col("o_orderdate")).alias("start"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("child_index"), micros(F.col("l_shipdate")).alias("at")).join(orders, "l_orderkey")
+    return spans.child_spans(lines, F.col("start"), F.col("at"), F.col("at") + 1000).select(F.col("l_orderkey").alias("record_id"), "child_index", "start_rel", "end_rel")
+
+
+@query("""SELECT l_orderkey AS record_id, cast(l_linenumber AS BIGINT) AS child_index, coalesce(n.p_partkey, -1 - l_suppkey) AS child_record_id, n.p_partkey IS NOT NULL AS found
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL) LEFT JOIN part n ON n.p_partkey = l_partkey AND n.p_size > 5""")
+def child_pointers(spark, sf_dir):
+    """Children by their pointer, or by the older one."""
+    stored = table(spark, sf_dir, "part").filter("p_size > 5").select(F.col("p_partkey").alias("record_id"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").cast("bigint").alias("child_index"))
+    lines = lines.agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    new = lines.withColumnRenamed("l_partkey", "child_record_id").join(stored.withColumnRenamed("record_id", "child_record_id"), "child_record_id", "left_semi")
+    return lookup.child_records(new, stored, lines.withColumn("child_record_id", -1 - F.col("l_suppkey"))).select("record_id", "child_index", "child_record_id", "found")
+
+
+@query("""SELECT event_id, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS elapsed FROM events""")
+def trace_elapsed(spark, sf_dir):
+    """Time since a run's first event."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", micros(F.col("ts")).alias("at"))
+    return spans.elapsed(rows, ["user_id"], "at").select("event_id", "elapsed")
+
+
+@query("""SELECT e.event_id, coalesce(p.p_brand, 'task-' || e.user_id) AS name FROM events e LEFT JOIN part p ON p.p_partkey = e.user_id AND p.p_size > 25 WHERE e.event_type = 'purchase'""")
+def span_names(spark, sf_dir):
+    """Ends with their span's name, or a made one."""
+    names = table(spark, sf_dir, "part").filter("p_size > 25").select(F.lit("r").alias("run_id"), F.col("p_partkey").alias("seq"), F.col("p_brand").alias("name"))
+    ends = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.lit("r").alias("run_id"), F.col("user_id").alias("seq"), "event_id")
+    return spans.named(ends, names).select("event_id", "name")
+
+
+@query("""SELECT event_type, event_id, props FROM events WHERE user_id IN (SELECT p_partkey FROM part WHERE p_size > 25)""")
+def strict_traces(spark, sf_dir):
+    """Traces whose span is known; the others are left out."""
+    known = table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").alias("user_id"))
+    return table(spark, sf_dir, "events").join(known, "user_id", "left_semi").select("event_type", "event_id", "props")
+
+
 # Runs.
 
 
