@@ -2,11 +2,11 @@
 
 A document is the set of its word shingles. Documents of one set are one node. Each node's set is sketched with
 one permutation and optimal densification, the sketch is cut into bands, and nodes that agree in a band share a
-bucket. In every bucket each node is paired with the least one alone, a star, so pairs grow with the nodes and
-not with their square; a pair is a link if the full sets are similar enough. Where a bucket's nodes are not all
-connected after that, nodes of different components could still be similar: such buckets are dealt in blocks
-of BLOCK nodes, and each two blocks are compared in one task, which returns links alone; a pair is compared
-only in the first band that it shares. Bands and rows are chosen so that a pair at the limit is missed in no
+bucket. In every bucket each node is paired with one alone, a star, so pairs grow with the nodes and not with
+their square; a pair is a link if the full sets are similar enough. Where a bucket's nodes are not all connected
+after that, those outside its largest component could still be similar to others: they are dealt in blocks of
+ASKING nodes and the bucket in blocks of ASKED, and each two blocks meet in one task, which returns links alone;
+a pair is compared only in the first band that it shares. Bands and rows are chosen so that a pair at the limit is missed in no
 bucket with a chance under MISS.
 
 Defined results: null texts count as empty; a document without words has no shingle, is linked with nothing and
@@ -33,7 +33,7 @@ from traceloom.llm.word_tokens import slices
 
 SHINGLE, PERCENT = 5, 80
 BANDS, MISS = 24, 1e-5
-BLOCK, SALT = 128, 256
+ASKING, ASKED, SALT = 512, 4096, 256
 
 
 def rows_per_band(percent: int, bands: int = BANDS) -> int:
@@ -102,42 +102,42 @@ def _verifier(percent: int):
 
 
 def _block_tester(percent: int):
-    def test(rows: list[tuple], low: int, high: int, band: int) -> list[tuple[bytes, bytes]]:
-        rows = sorted(rows, key=lambda r: r[1])
-        nodes, comps = [r[1] for r in rows], [r[2] for r in rows]
-        block = np.array([r[0] for r in rows])
-        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-        bands = np.array([r[4] for r in rows])
-        names = {c: k for k, c in enumerate(dict.fromkeys(comps))}
-        comp = np.array([names[c] for c in comps])
+    def test(rows: list[tuple], band: int) -> list[tuple[bytes, bytes]]:
+        """rows: (whether it asks, whether it is minor, node, comp, set, bands)."""
+        asking, asked = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+        if not asking or not asked:
+            return []
+        names = {c: k for k, c in enumerate(dict.fromkeys(r[3] for r in rows))}
+        comp = np.array([names[r[3]] for r in asked])
+        minor, nodes = np.array([r[1] for r in asked], bool), [r[2] for r in asked]
+        sets, bands = [np.frombuffer(r[4], np.uint64) for r in asked], np.stack([r[5] for r in asked])
         sizes = np.array([len(s) for s in sets])
         links = []
-        for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
-            ok = (comp[j] != comp[i]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
-            if low != high:
-                ok &= block[j] != block[i]
-            j = j[ok]
-            for k in j[(bands[j] == bands[i]).argmax(1) == band] if len(j) else ():
-                if comp[k] != comp[i] and similar(sets[i], sets[k], percent):
-                    links.append((nodes[i], nodes[k]))
-                    comp[comp == comp[k]] = comp[i]
+        for _, _, node, c, data, hashes in asking:
+            own, mine = np.frombuffer(data, np.uint64), names[c]
+            at = np.flatnonzero((comp != mine) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own))))
+            if not len(at):
+                continue
+            for k in at[(bands[at] == hashes).argmax(1) == band]:
+                # Two minor nodes ask each other; once is enough.
+                if comp[k] != mine and (not minor[k] or node < nodes[k]) and similar(own, sets[k], percent):
+                    links.append((node, nodes[k]))
+                    comp[comp == comp[k]] = mine
         return links
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, held = None, []
+        task, held, here = None, [], 0
         for pdf in batches:
             links = []
-            for key, band, low, high, block, node, comp, data, hashes in pdf.itertuples(index=False):
-                if (key, low, high) != task:
-                    if task:
-                        links += test(held, task[1], task[2], here)
-                    task, held, here = (key, low, high), [], band
-                held.append((block, node, comp, data, hashes))
+            for key, band, x, y, *row in pdf.itertuples(index=False):
+                if (key, x, y) != task:
+                    links += test(held, here)
+                    task, held, here = (key, x, y), [], band
+                held.append(row)
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])
-        if task:
-            yield pd.DataFrame(test(held, task[1], task[2], here), columns=["a", "b"])
+        if links := test(held, here):
+            yield pd.DataFrame(links, columns=["a", "b"])
 
     return run
 
@@ -151,11 +151,15 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     # One row a set; equal sets have equal bands.
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     postings = nodes.select("node", "n", F.posexplode("bands").alias("band", "hash")).select("node", "n", "band", F.xxhash64("band", "hash").alias("key"))
-    heads = postings.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other"), F.min_by("n", "node").alias("centre_n")).filter("centre <> other").drop("other")
     # Only what shares a bucket goes on.
-    shared = scratch.save(keyed_join(postings, heads, "key"), "shared")
-    few, many = F.least("n", "centre_n"), F.greatest("n", "centre_n")
-    pairs = shared.filter((F.col("node") != F.col("centre")) & (100 * few >= percent * many)).select("centre", "node").distinct()
+    buckets = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    shared = scratch.save(keyed_join(postings, buckets, "key"), "shared")
+    # A bucket's centre is the node that shares most over all its buckets: of copies mostly the one they were made from.
+    scores = shared.groupBy("node").agg(F.sum("m").alias("score"))
+    heads = keyed_join(shared, scores, "node").groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("centre"), F.col("n").alias("centre_n")), F.struct("score", "node")).alias("head"))
+    few, many = F.least("n", "head.centre_n"), F.greatest("n", "head.centre_n")
+    pairs = keyed_join(shared, heads, "key").filter((F.col("node") != F.col("head.centre")) & (100 * few >= percent * many))
+    pairs = pairs.select("head.centre", "node").distinct()
 
     # Sets of the nodes in buckets, made again from the texts of one document each.
     wanted = shared.select("node").distinct()
@@ -175,15 +179,18 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     links = scratch.save(rows.mapInPandas(_verifier(percent), "a binary, b binary"), "links")
     labels = connected(links, scratch, "star")
 
-    # What the stars leave open: buckets whose nodes lie in several components.
+    # What the stars leave open: in each bucket, nodes outside its largest component against all others.
     placed = keyed_join(shared.select("key", "band", "node"), labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high and m > 2")
-    open_keys = open_keys.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rest = keyed_join(placed, open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    rest = rest.withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "band", F.least("block", "beside").alias("low"), F.greatest("block", "beside").alias("high"), "block", "node", "comp")
-    rest = keyed_join(rest, sets, "node").select("key", "band", "low", "high", "block", "node", "comp", "set", "bands")
-    rest = rest.repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+    parts = parts.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("major"), F.sum("size").alias("m"), F.max("size").alias("most"))
+    parts = parts.filter("most < m and m > 2").select("key", "major", F.ceil((F.col("m") - F.col("most")) / ASKING).cast("int").alias("xs"), F.ceil(F.col("m") / ASKED).cast("int").alias("ys"))
+    rest = keyed_join(placed, parts, "key").withColumn("minor", F.col("comp") != F.col("major"))
+    x, y = F.pmod(F.xxhash64("node"), "xs").cast("int"), F.pmod(F.xxhash64("node"), "ys").cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asking = rest.filter("minor").select("key", "band", x.alias("x"), every("ys").alias("y"), F.lit(True).alias("asks"), "minor", "node", "comp")
+    asked = rest.select("key", "band", every("xs").alias("x"), y.alias("y"), F.lit(False).alias("asks"), "minor", "node", "comp")
+    rest = keyed_join(asking.unionByName(asked), sets, "node").select("key", "band", "x", "y", "asks", "minor", "node", "comp", "set", "bands")
+    rest = rest.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y")
     more = scratch.save(rest.mapInPandas(_block_tester(percent), "a binary, b binary"), "more")
     if not more.isEmpty():
         labels = connected(links.unionByName(more), scratch, "all")
