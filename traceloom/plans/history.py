@@ -42,7 +42,7 @@ def _publish(store: RecordStore, records: list[Record], run_id: str, entry: str,
     rows: dict[str, list[tuple]] = {"runs": [(run_id, entry, at, now, status)], "run_steps": [], "records": [], "record_children": [], "record_events": [], "blobs": []}
     names = {e["seq"]: e["name"] for e in events if e["e"] == "spawn"}
     ends = [e for e in events if e["e"] == "end" and e.get("record_id")]
-    rows["run_steps"] = [(run_id, n, names.get(e["seq"], f"task-{e['seq']}"), e["cairn_id"], e["record_id"], e.get("origin")) for n, e in enumerate(ends, 1)]
+    rows["run_steps"] = [(run_id, n, names.get(e["seq"], f"task-{e['seq']}"), e["comp_id"], e["record_id"], e.get("origin")) for n, e in enumerate(ends, 1)]
     for r in records:
         digest = None
         if r.payload is not None:

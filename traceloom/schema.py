@@ -14,7 +14,7 @@ RUNS = "run_id string, entry string, started_at timestamp, ended_at timestamp, s
 RUN_STEPS = "run_id string, ordinal int, name string, comp_id string, record_id string, origin string"
 OVERLAYS = "run_id string, comp_id string, donor_comp_id string, donor_record_id string"
 TRACE = (
-    "e string, ts double, seq int, parent_seq int, name string, origin string, cairn_id string, record_id string, record_path string, "
+    "e string, ts double, seq int, parent_seq int, name string, origin string, comp_id string, record_id string, record_path string, "
     "identity string, body_hash string, version string, args string, memo boolean, cached boolean, size bigint, own_size bigint, "
     "duration double, own_duration double, cached_duration double, on struct<kind:string,seq:int,id:int,ids:array<int>>, on_seq int, "
     "msg string, detail string, progress array<int>, state string, level string, cost map<string,double>, edge boolean, err string"
