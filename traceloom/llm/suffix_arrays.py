@@ -107,30 +107,31 @@ def _sort_names(s: list[int], symbols: int) -> list[int]:
     counts = np.bincount(t, minlength=symbols)
     end_of = np.cumsum(counts)
     ends, starts = end_of.tolist(), (end_of - counts).tolist()
-    small = small_flags.tolist()
+    # For each suffix, the bucket of the one before it if that is to be induced in this pass, else -1; and -1 for no suffix.
+    large_before, small_before = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32)
+    large_before[1:n] = np.where(small_flags[:-1], -1, t[:-1])
+    small_before[1:n] = np.where(small_flags[:-1], t[:-1], -1)
+    to_right, to_left = large_before.tolist(), small_before.tolist()
 
     def induce(order: list[int]) -> list[int]:
         sa = [-1] * n
         tail = ends.copy()
         for j in reversed(order):
-            c = s[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
+            tail[s[j]] = at = tail[s[j]] - 1
+            sa[at] = j
         head = starts.copy()
         for j in sa:
-            if j > 0:
-                j -= 1
-                if not small[j]:
-                    c = s[j]
-                    sa[head[c]] = j
-                    head[c] += 1
+            c = to_right[j]
+            if c >= 0:
+                at = head[c]
+                sa[at] = j - 1
+                head[c] = at + 1
         tail = ends.copy()
-        for i in range(n - 1, -1, -1):
-            j = sa[i] - 1
-            if j >= 0 and small[j]:
-                c = s[j]
-                tail[c] -= 1
-                sa[tail[c]] = j
+        for j in reversed(sa):
+            c = to_left[j]
+            if c >= 0:
+                tail[c] = at = tail[c] - 1
+                sa[at] = j - 1
         return sa
 
     if len(places) == 1:

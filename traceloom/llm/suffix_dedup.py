@@ -2,7 +2,8 @@
 
 Each SPAN-byte window of a text has an anchor (see winnow); equal windows have equal anchors, so the corpus is
 dealt in shards by anchor. Segments of one content are one row; an anchor with one segment needs no sorting: its
-windows are repeated if the segment occurs twice. The different segments of an anchor are laid side by side in
+windows are repeated if the segment occurs twice. The different segments of an anchor, narrowed to what they can
+share with another around the anchor, are laid side by side in
 blocks of whole anchors of about BLOCK bytes; each block is sorted by induced sorting, and its permuted common
 prefixes say which windows also start elsewhere. An anchor of over CROWD different segments, which would not fit
 a block, is settled by its windows' 128-bit digests, counted like words. Where segments repeat is then joined
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from traceloom.llm.common import Scratch, partitions
 from traceloom.llm.components import keyed_join
 from traceloom.llm.suffix_arrays import common_prefixes, suffix_array
-from traceloom.llm.winnow import SPAN, segments
+from traceloom.llm.winnow import SPAN, gram_hashes, segments
 from traceloom.llm.word_tokens import slices
 
 BLOCK, CROWD = 1 << 20, 8192
@@ -72,21 +74,59 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _slice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     expand = zstandard.ZstdDecompressor()
     for pdf in batches:
+        rows: list[tuple] = []
         for packed, wanted in zip(pdf["packed"], pdf["wanted"], strict=True):
             text = expand.decompress(packed)
-            rows = [(w["anchor"], w["digest"], w["n"], w["windows"], text[w["first"] : w["first"] + w["windows"] + SPAN - 1]) for w in wanted]
+            rows += [(w["anchor"], w["digest"], w["n"], w["windows"], text[w["first"] : w["first"] + w["windows"] + SPAN - 1]) for w in wanted]
+            if len(rows) > 10_000:
+                yield pd.DataFrame(rows, columns=["anchor", "digest", "n", "windows", "bytes"])
+                rows = []
+        if rows:
             yield pd.DataFrame(rows, columns=["anchor", "digest", "n", "windows", "bytes"])
 
 
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    x = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    return n - (x.bit_length() + 7) // 8
+
+
+def narrowed(anchors: list[int], pieces: list[bytes]) -> list[tuple[int, int]]:
+    """The range of each piece in which windows can be repeated, empty if there is none; pieces of an anchor stand together.
+
+    Equal windows have their anchor at the same place, so what two pieces share around their anchors, to the left
+    and to the right, bounds them; the most that a piece shares is with a neighbour in sorted order.
+    """
+    lens = np.array([len(p) for p in pieces])
+    starts = np.cumsum(lens) - lens
+    hashes = gram_hashes(np.frombuffer(b"".join(pieces), np.uint8)).view(np.int64)
+    hits = np.flatnonzero(hashes == np.repeat(np.array(anchors, np.int64), lens)[: len(hashes)])
+    middle = (hits[np.searchsorted(hits, starts)] - starts).tolist()
+    ahead = [p[m:] for p, m in zip(pieces, middle, strict=True)]
+    behind = [p[m - 1 :: -1] if m else b"" for p, m in zip(pieces, middle, strict=True)]
+    reach = []
+    for sides in (behind, ahead):
+        most = [0] * len(pieces)
+        order = sorted(range(len(pieces)), key=lambda i: (anchors[i], sides[i]))
+        for i, j in pairwise(order):
+            if anchors[i] == anchors[j]:
+                k = _common(sides[i], sides[j])
+                most[i], most[j] = max(most[i], k), max(most[j], k)
+        reach.append(most)
+    return [(m - a, m + b) if a + b >= SPAN else (0, 0) for m, a, b in zip(middle, *reach, strict=True)]
+
+
 def _sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: list[tuple] = []
     size, last = 0, None
 
     def settle() -> pd.DataFrame:
+        ranges = narrowed([h[0] for h in held], [h[3] for h in held])
+        kept = [(h[1], h[2], low, h[3][low:high]) for h, (low, high) in zip(held, ranges, strict=True) if high]
         rows = []
-        for (_, digest, n, data), flags in zip(held, repeated_windows([h[3] for h in held]), strict=True):
+        for (digest, n, start, _), flags in zip(kept, repeated_windows([k[3] for k in kept]), strict=True):
             if n == 1:  # the others are repeated as wholes
-                rows += [(digest, low, high) for low, high in _runs(flags)]
+                rows += [(digest, start + low, start + high) for low, high in _runs(flags)]
         return pd.DataFrame(rows, columns=["digest", "low", "high"]).astype({"low": np.int32, "high": np.int32})
 
     for pdf in batches:
