@@ -35,4 +35,5 @@ def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if step > 1:
             scratch.drop(f"{name}-{step - 1}")
         if done.filter("old <> comp").isEmpty():
+            scratch.drop(f"{name}-links")
             return labels

@@ -194,6 +194,8 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     more = scratch.save(rest.mapInPandas(_block_tester(percent), "a binary, b binary"), "more")
     if not more.isEmpty():
         labels = connected(links.unionByName(more), scratch, "all")
+    for done in ("shared", "sets", "pairs", "links", "more"):
+        scratch.drop(done)
 
     classes = keyed_join(nodes.select("node", "least"), labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -194,6 +194,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     common = counted.groupBy("window").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     single = keyed_join(counted.filter("n = 1"), common, "window").select("digest", "low", (F.col("low") + 1).alias("high"))
     found = scratch.save(whole.unionByName(runs).unionByName(single), "found")
+    scratch.drop("kinds")
+    scratch.drop("pieces")
 
     ranges = keyed_join(places.select("doc_id", "mark", "first", "digest"), found, "digest")
     ranges = ranges.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "mark", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high") - 1 + SPAN).alias("high"))
