@@ -56,7 +56,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all its columns, without the rows that exact_groups drops; of rows that repeat a doc_id and text, one stays."""
-    verdicts = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_tl_id"), F.col("text_sha256").alias("_tl_sha")).distinct()
+    verdicts = exact_groups(docs, id_col, text_col).filter("kept").groupBy(F.col("doc_id").alias("_tl_id"), F.col("text_sha256").alias("_tl_sha")).agg(F.count(F.lit(1)).alias("_tl_rows"))
     sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
-    kept = docs.join(verdicts, docs[id_col].eqNullSafe(verdicts["_tl_id"]) & (sha == verdicts["_tl_sha"]), "left_semi")
-    return kept.dropDuplicates([id_col, text_col])
+    kept = docs.join(verdicts, docs[id_col].eqNullSafe(F.col("_tl_id")) & (sha == F.col("_tl_sha")))
+    # Only rows that are repeated as wholes are moved again.
+    once, repeated = kept.filter("_tl_rows = 1"), kept.filter("_tl_rows > 1").dropDuplicates([id_col, text_col])
+    return once.select(*[docs[c] for c in docs.columns]).unionByName(repeated.select(*[docs[c] for c in docs.columns]))
