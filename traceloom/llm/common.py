@@ -28,8 +28,8 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_root(spark)}/traceloom-{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, label: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{label}")
+    def save(self, df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+        df.write.option("compression", codec).parquet(f"{self.path}/{label}")
         return self.read(label, df)
 
     def read(self, label: str, like: DataFrame) -> DataFrame:

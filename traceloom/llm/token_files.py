@@ -96,7 +96,7 @@ def write_blocks(docs: DataFrame, scratch: Scratch, path: str | None = None, lab
     """The table of blocks for docs(doc_id, text), in ascending doc_id order within and between its partitions."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = texts.repartitionByRange(parts or partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return scratch.save(ordered.mapInPandas(_writer(path or tokenizer_path()), BLOCKS), label)
+    return scratch.save(ordered.mapInPandas(_writer(path or tokenizer_path()), BLOCKS), label, "zstd")
 
 
 def partition_starts(blocks: DataFrame) -> dict[int, int]:
