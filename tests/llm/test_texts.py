@@ -158,3 +158,26 @@ def test_fingerprint_rows(spark):
 
 def test_edited_text():
     assert feature_digest.edited("abcdef", "XYZW") == "abcXYZ" and feature_digest.edited("abcde", "X") == "abcX" and feature_digest.edited("a", "X") == "a"
+
+
+def test_only_empty_texts_have_no_features(spark):
+    same = ["a" * 1000, "=" * 5000, "ha " * 400, "0123456789" * 100, "buy now " * 200, "e" * 40, "b" * 35, "c" * 31, "d", "é" * 41, "aab" * 300, "xyz" * 11]
+    usual = [prose("en", n, n) for n in (60, 300)]
+    texts = [t.encode() for t in [*same, "", *usual]]
+    rank = feature_digest.rarity(feature_digest.level_counts(texts))
+    made = feature_digest.digests(texts, rank)
+    assert [len(d[0]) == 0 for d in made] == [not t for t in texts]
+    assert len({feature_digest.to_text(d) for d in made}) == len(made)
+    assert [d[1] for d in made[:5]] == [1, 1, 3, 10, 8]  # as many as there are different windows
+    assert [feature_digest.to_text(feature_digest.digests([t], rank)[0]) for t in texts] == [feature_digest.to_text(d) for d in made]
+    for i, x in enumerate(made):
+        for j, y in enumerate(made):
+            score = feature_digest.likeness(x, y)
+            assert score == feature_digest.likenesses([x], [y])[0] and (score == 1.0 if i == j else score < 0.5)
+    # Texts in which windows have enough points keep those, and no others.
+    for t, d in zip(texts[-2:], made[-2:], strict=True):
+        found = {t[i : i + feature_digest.WINDOW] for i in brute_features(t, rank)}
+        assert d[1] + feature_digest.FILL * (len(d[0]) - 1) == len(found) > 0
+    docs = spark.createDataFrame(list(enumerate([*same, ""])), "doc_id long, text string")
+    rows = sorted(feature_digest.fingerprints(docs, 2).collect())
+    assert all((r["fingerprint"] == "") == (r["n_chars"] == 0) and r["near_next"] < 0.5 for r in rows)

@@ -9,7 +9,8 @@ give, on a scale to 1; a chain's likeness is the mean, over the shorter chain, o
 
 Defined results: null texts count as empty; an empty text has an empty fingerprint; likeness is 1 between equal
 fingerprints and 0 between an empty and another. A text shorter than a window is one feature, one with fewer
-than POINTS windows needs half as many points. The next document is the next row by (doc_id, text); a row
+than 2 * POINTS windows needs points from half of them. Where no window of a text gets there (constant, periodic
+and some other texts), those with the most points are its features, so only an empty text has none. The next document is the next row by (doc_id, text); a row
 without doc_id has no next one (it counts as empty) and is nobody's. A lone document is its own next. Extra
 columns are not read.
 """
@@ -81,8 +82,8 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _select(buf: np.ndarray, starts: np.ndarray, windows: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions of the features, the text each belongs to)."""
+def _select(buf: np.ndarray, starts: np.ndarray, windows: np.ndarray, rank: np.ndarray, always: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the features, the text each belongs to); with `always`, a text no window of which has enough points has those with the most."""
     levels = entropy_levels(buf)
     n = len(levels)
     if not n:
@@ -98,8 +99,11 @@ def _select(buf: np.ndarray, starts: np.ndarray, windows: np.ndarray, rank: np.n
         span *= 2
     winner = key[valid] & ((1 << bits) - 1)
     points = np.bincount(winner, minlength=n)[valid]
-    need = np.clip(windows // 2, 1, POINTS)[owner]
-    chosen = points >= need
+    need = np.clip(windows // 2, 1, POINTS)
+    if always:
+        some = windows > 0
+        need[some] = np.minimum(need[some], np.maximum.reduceat(points, (np.cumsum(windows) - windows)[some]))
+    chosen = points >= need[owner]
     return valid[chosen], owner[chosen]
 
 
@@ -116,7 +120,7 @@ def _hashes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
 def digests(texts: list[bytes], rank: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """(filters as rows of bytes, features in the last one) of each text."""
     buf, starts, windows = _buffer(texts)
-    at, owner = _select(buf, starts, windows, rank)
+    at, owner = _select(buf, starts, windows, rank, always=True)
     h = _hashes(buf, at)
     # The first of equal features of a text counts.
     order = np.lexsort((np.arange(len(h)), h, owner))
