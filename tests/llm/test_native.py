@@ -1,5 +1,7 @@
 """Operators 1, 4 and 6 on odd tables; their SQL is compared on whole tables by the driver."""
 
+import warnings
+
 import duckdb
 import pyarrow as pa
 import pytest
@@ -75,6 +77,18 @@ def test_mix_meets_its_targets(spark):
     assert kept.columns == docs.columns and kept.count() == out.filter("copies = 1").count()
 
 
+def test_an_unmet_entropy_target_is_reported(spark):
+    flat = spark.createDataFrame([(i, "w " * 20, f"s{i % 5}") for i in range(200)], "doc_id long, text string, source string")
+    with pytest.warns(RuntimeWarning, match="entropy target not met"):
+        out = mixing.mix(flat)
+    assert {(r["weight"], r["copies"]) for r in out.select("weight", "copies").collect()} == {(0.2, 1)}
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        hot = flat.withColumn("source", F.when(F.col("doc_id") < 150, "hot").otherwise(F.col("source")))
+        weights = {r["source"]: r["weight"] for r in mixing.mix(hot).collect()}
+    assert 0.2 < weights["hot"] < 0.75  # thinned from its 0.75
+
+
 PAGES = [
     (1, "http://a.good.com/en/1", None), (2, "HTTPS://Bad.Example.com:80/fr/2.html?q#x", "x"), (3, "https://x.example.org/es/3", ""), (4, "http://example.org/en/17", ""), (5, "http://example.org/en/2", ""),
     (6, None, ""), (7, "no scheme", ""), (8, "http://b.co.uk", ""), (9, "http://one.bad.net/en/9", ""), (10, "http://one.bad.net/en/10", ""), (11, "http://two.bad.net/en/11", ""), (11, "http://two.bad.net/en/11", ""),

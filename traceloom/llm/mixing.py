@@ -10,11 +10,14 @@ block where it is reached are single documents counted. Whole epochs come first.
 Defined results: a null source is a source of its own, reported as null; a null text has no tokens and an
 empty text neither, and such documents are taken with their block. Documents of equal doc_id lie in one block
 in the order of their token counts. A source without tokens has weight 0 and its documents are taken once.
+A mixture is only ever flatter than the raw shares: where these are nearer to uniform than `entropy_share` allows, the
+entropy target is not met, the exponent is 1, the weights are the raw shares, and a RuntimeWarning says so.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +41,7 @@ def _hash(*parts: Column) -> Column:
 
 
 def find_exponent(sources: DataFrame, budget: float, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS) -> float:
-    """The smallest exponent that meets both targets; each round is one aggregate of POINTS candidates."""
+    """The smallest exponent that meets both targets, or 1, with a warning, where the raw shares are too flat; each round is one aggregate of POINTS candidates."""
     p = F.col("p")
 
     def measure(points: list[float]) -> list[tuple[float, float]]:
@@ -55,8 +58,12 @@ def find_exponent(sources: DataFrame, budget: float, entropy_share: float = ENTR
     good = lambda m: m[0] <= 1e-12 and m[1] <= 1e-12
     if sources.filter("p > 0").isEmpty() or good(measure([0.0])[0]):
         return 0.0
-    if measure([1.0])[0][1] > 1e-12:
+    over, repeats = measure([1.0])[0]
+    if repeats > 1e-12:
         raise ValueError("the budget repeats every source more than max_repeats times")
+    if over > 1e-12:  # entropy falls as the exponent grows, so no smaller one meets the target either
+        warnings.warn(f"entropy target not met: that of the raw shares is {over:.6f} above {entropy_share} of the largest; the weights are the raw shares", RuntimeWarning, stacklevel=2)
+        return 1.0
     low, high = 0.0, 1.0
     while high - low > 1e-9:
         points = [low + (high - low) * i / POINTS for i in range(1, POINTS)]
