@@ -1,5 +1,6 @@
 """Operators 1, 4 and 6 on odd tables; their SQL is compared on whole tables by the driver."""
 
+import math
 import warnings
 
 import duckdb
@@ -77,6 +78,18 @@ def test_mix_meets_its_targets(spark):
     assert kept.columns == docs.columns and kept.count() == out.filter("copies = 1").count()
 
 
+def test_rows_without_an_id_are_taken_one_by_one(spark):
+    rows = [(None, f"{'w ' * 9}{i}", "a", i) for i in range(40)] + [(7, f"{'v ' * 9}{i}", "b", i) for i in range(40)] + [(8, "same text " * 5, "c", i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kept int").repartition(4)
+    for share, repeats in ((0.5, 1.0), (1.5, 4.0)):
+        out = mixing.mix(docs, budget_share=share, max_repeats=repeats)
+        want = {r["source"]: r["c"] for r in out.groupBy("source").agg(F.sum("copies").alias("c")).collect()}
+        assert want == dict.fromkeys("abc", 40 * share)
+        got = [(r["source"], r["kept"]) for r in mixing.realised(docs, budget_share=share, max_repeats=repeats).collect()]
+        assert {s: sum(x[0] == s for x in got) for s in "abc"} == want
+        assert max(map(got.count, got)) == math.ceil(share)  # no row is taken for another
+
+
 def test_an_unmet_entropy_target_is_reported(spark):
     flat = spark.createDataFrame([(i, "w " * 20, f"s{i % 5}") for i in range(200)], "doc_id long, text string, source string")
     with pytest.warns(RuntimeWarning, match="entropy target not met"):

@@ -77,8 +77,14 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, entropy_share: floa
 
     place orders the blocks of a source; copies is how often the document is taken, over all epochs.
     """
+    return _mix(docs, budget_share, entropy_share, max_repeats, seed)
+
+
+def _mix(docs: DataFrame, budget_share: float, entropy_share: float, max_repeats: float, seed: int, *extra: Column) -> DataFrame:
+    """As mix(), with more columns, which order rows that are else equal."""
     spark = docs.sparkSession
-    counted = docs.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens"))
+    counted = docs.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens"), *extra)
+    more = counted.columns[3:]
     scratch = Scratch(spark, "mix")
     counted = scratch.save(counted, "counted")  # small: ids, sources and counts
     sources = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
@@ -111,19 +117,30 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, entropy_share: floa
     dealt = dealt.withColumn("_k", F.xxhash64("source", "block"))
     placed = dealt.join(heads, dealt["source"].eqNullSafe(heads["_s"]) & (dealt["block"] == heads["_b"]) & (F.col("_k") == F.col("_hk"))).drop("_k", "_hk", "_s", "_b")
     # One block of each source is counted document by document; in the others the window has nothing to order.
-    inside = Window.partitionBy("source", "block").orderBy("_order", F.col("doc_id").asc_nulls_first(), "n_tokens")
+    inside = Window.partitionBy("source", "block").orderBy("_order", F.col("doc_id").asc_nulls_first(), "n_tokens", *more)
     cut = placed.filter("_cut").withColumn("_run", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_in", F.col("_run") <= F.col("_left")).drop("_run")
     out = placed.filter("not _cut").withColumn("_in", F.col("_whole")).unionByName(cut)
-    return out.select("doc_id", "source", "n_tokens", F.round("weight", TAU_DIGITS).alias("weight"), "block", "place", (F.col("epochs") + F.col("_in").cast("long")).alias("copies"))
+    return out.select("doc_id", "source", "n_tokens", F.round("weight", TAU_DIGITS).alias("weight"), "block", "place", (F.col("epochs") + F.col("_in").cast("long")).alias("copies"), *more)
 
 
 def realised(docs: DataFrame, budget_share: float = BUDGET_SHARE, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, seed: int = 7) -> DataFrame:
     """docs, with all its columns, each row as often as the mixture takes it.
 
-    A null doc_id is matched like any other; rows that repeat a doc_id in one source are taken alike, by the smallest of their counts.
+    A null doc_id is matched like any other; rows that repeat a doc_id in one source are told apart by their texts.
+    Of rows with equal texts as well, as many are taken once more as the mixture says.
     """
-    taken = mix(docs, budget_share, entropy_share, max_repeats, seed)
-    taken = taken.groupBy(F.col("doc_id").alias("_tl_id"), F.col("source").alias("_tl_source")).agg(F.min("copies").cast("int").alias("_tl_copies"))
-    joined = docs.join(taken.filter("_tl_copies > 0"), docs["doc_id"].eqNullSafe(F.col("_tl_id")) & docs["source"].eqNullSafe(F.col("_tl_source")))
+    text = F.xxhash64("text")
+    taken = _mix(docs, budget_share, entropy_share, max_repeats, seed, text.alias("_tl_text"))
+    taken = taken.groupBy(F.col("doc_id").alias("_tl_id"), F.col("source").alias("_tl_source"), F.col("_tl_text").alias("_tl_key"))
+    # Counts of equal rows differ by one at most: where the cut falls among them, _tl_more of them come once more.
+    least = F.min("copies")
+    taken = taken.agg(least.cast("int").alias("_tl_copies"), (F.sum("copies") - F.count(F.lit(1)) * least).alias("_tl_more"))
+    taken = Scratch(docs.sparkSession, "taken").save(taken, "taken")  # small: ids, sources and counts
+    same = docs["doc_id"].eqNullSafe(F.col("_tl_id")) & docs["source"].eqNullSafe(F.col("_tl_source")) & (F.xxhash64(docs["text"]) == F.col("_tl_key"))
+    joined = docs.join(taken.filter("_tl_copies > 0 or _tl_more > 0"), same)
+    if not taken.filter("_tl_more > 0").isEmpty():  # one group of equal rows a source at most; the rest is not moved for it
+        among = Window.partitionBy("_tl_id", "_tl_source", "_tl_key").orderBy("_tl_key")
+        split = joined.filter("_tl_more > 0").withColumn("_tl_copies", F.col("_tl_copies") + (F.row_number().over(among) <= F.col("_tl_more")).cast("int"))
+        joined = joined.filter("_tl_more = 0").unionByName(split).filter("_tl_copies > 0")
     repeated = joined.withColumn("_tl_nth", F.explode(F.sequence(F.lit(1), F.col("_tl_copies"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    return repeated.select(*docs.columns)
