@@ -39,6 +39,18 @@ def test_language_on_held_out_texts(spark):
     assert language.identify(docs.limit(0)).count() == 0
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    rows = [(i, f"{prose('en', 4, i)} " + f"{chr(0x3B1 + i % 230)}{chr(0x5D0 + i % 23)} " * 8, f"x{i % 230:03d}") for i in range(230 * 6)]
+    rows += [(10_000 + i, prose("en", 12, i), "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {}
+    monkeypatch.setattr(language, "train", lambda got: learned.update((r[0], learned.get(r[0], 0) + 1) for r in got))
+    assert language.fit(docs) is None
+    known = {r["lang"]: r["count"] for r in docs.filter(~language.held_out(F.col("doc_id"))).groupBy("lang").count().collect()}
+    assert len(known) > 220 and set(learned) == set(known)
+    assert all(learned[x] == known[x] for x in known if x != "en") and 0 < learned["en"] < 60
+
+
 def test_one_versus_one_votes():
     rows = [(lang, g.tolist(), (n / n.sum()).tolist()) for lang in WORDS for k in range(20) for g, n in [np.unique(language._grams([prose(lang, 30, k)])[0], return_counts=True)]]
     model = language.train(rows)

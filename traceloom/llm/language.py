@@ -3,8 +3,9 @@
 A text is its byte trigrams, lower-cased, hashed to DIMS weights; a linear machine's value is the mean weight
 over the whole text. One-versus-rest linear support vector machines choose the family, and within it a machine
 for each pair of languages votes; equal votes go to the larger sum of margins. All are trained by dual
-coordinate descent on the driver, on a hash sample of about SAMPLE labelled texts (at most PER_LANGUAGE of a
-language, for the MAX_LANGUAGES most frequent ones); the sample's features are made on the executors.
+coordinate descent on the driver, on a hash sample of about SAMPLE labelled texts (of each language at most
+PER_LANGUAGE, but about LEAST or all it has, also where this makes the sample larger); the sample's features are
+made on the executors.
 
 Defined results: `und` with score 0 for a null text or one without a letter, and for all if nothing is labelled;
 a null doc_id is never learned from and not held out. Rows are judged one by one, so ties and repeated rows
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from traceloom.llm.word_tokens import slices
 
-DIMS, SAMPLE, PER_LANGUAGE, MAX_LANGUAGES = 1 << 13, 2400, 600, 200
+DIMS, SAMPLE, PER_LANGUAGE, LEAST = 1 << 13, 2400, 600, 12
 COST, EPOCHS = 50.0, 30
 MIN_SCORE = 0.3  # under it both levels are near a toss-up
 # Language families by ISO 639-1 code; a code that is not here is a family of its own.
@@ -164,11 +165,11 @@ def train(rows: list[tuple[str, list[int], list[float]]]) -> Model | None:
 def fit(docs: DataFrame) -> Model | None:
     """A model from docs(doc_id, text, lang) that are not held out."""
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & has_letter(F.col("text"))).select("doc_id", "lang", "text")
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    each = min(PER_LANGUAGE, SAMPLE // max(1, len(counts)))
-    chance = F.lit(0.0)
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    each = min(PER_LANGUAGE, max(LEAST, SAMPLE // max(1, len(counts))))
+    chance = F.when(F.lit(False), F.lit(0.0))  # one flat list of cases, however many languages
     for r in counts:
-        chance = F.when(F.col("lang") == r["lang"], F.lit(each / r["n"])).otherwise(chance)
+        chance = chance.when(F.col("lang") == r["lang"], F.lit(each / r["n"]))
     sample = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < chance * (1 << 30))
     got = sample.select("lang", "text").mapInPandas(features, "lang string, at array<int>, share array<double>").collect()
     return train([(r["lang"], r["at"], r["share"]) for r in got])
