@@ -128,6 +128,26 @@ def test_stitching_repeats_shared_children_and_survives_cycles(spark):
     assert got == [(10, None, "r", 0), (11, 10, "a", 1), (12, 11, "s", 2), (13, 10, "b", 1), (14, 13, "s", 2)]
 
 
+def test_stitch_query_covers_every_tree_to_its_leaves(spark):
+    from traceloom.queries import stitch, tree_edges
+
+    sf = "/root/testdata/sf0.001"
+    below = {}
+    for child, parent in sorted(map(tuple, tree_edges(spark, sf).collect())):
+        below.setdefault(parent, []).append(child)
+    want = []
+    for (key,) in spark.read.parquet(f"{sf}/region.parquet").select("r_regionkey").collect():
+        seq, todo = 0, [(f"r{key}", None, 0)]
+        while todo:
+            node, up, depth = todo.pop()
+            seq += 1
+            want.append((f"r{key}", seq, up, node, depth))
+            todo += [(child, seq, depth + 1) for child in reversed(below.get(node, []))]
+    got = stitch(spark, sf).select("root", "seq", "parent_seq", "record_id", "depth").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+    assert {r[3][0] for r in want} == set("rncol")
+
+
 def test_recalled_time_in_turn_and_together(spark):
     spawn = lambda seq, up=None: {"e": "spawn", "seq": seq, "parent_seq": up}
     end = lambda seq: {"e": "end", "seq": seq, "cached": True, "duration": 2.0, "cached_duration": 1.0}

@@ -182,12 +182,17 @@ def stitch(children: DataFrame, root: str, first_seq: int = 1) -> DataFrame:
 
     children(record_id, child_index, child_record_id). One round a level; a path that comes back to itself ends there.
     """
-    spark = children.sparkSession
-    level = spark.createDataFrame([(root, [], [root])], "record_id string, path array<int>, trail array<string>")
+    roots = children.sparkSession.createDataFrame([(root,)], "root string")
+    return stitch_each(children, roots, first_seq).drop("root")
+
+
+def stitch_each(children: DataFrame, roots: DataFrame, first_seq: int = 1) -> DataFrame:
+    """root and the columns of stitch() of the tree of each of roots(root), each numbered from first_seq on."""
+    level = roots.select("root", F.col("root").alias("record_id"), F.array().cast("array<int>").alias("path"), F.array("root").alias("trail"))
     found = [level]
     while True:
         below = level.join(children, "record_id").filter(~F.array_contains("trail", F.col("child_record_id")))
-        level = materialise(below.select(F.col("child_record_id").alias("record_id"), F.concat("path", F.array(F.col("child_index"))).alias("path"), F.concat("trail", F.array("child_record_id")).alias("trail")), "stitch")
+        level = materialise(below.select("root", F.col("child_record_id").alias("record_id"), F.concat("path", F.array(F.col("child_index"))).alias("path"), F.concat("trail", F.array("child_record_id")).alias("trail")), "stitch")
         if level.isEmpty():
             break
         found.append(level)
@@ -195,10 +200,10 @@ def stitch(children: DataFrame, root: str, first_seq: int = 1) -> DataFrame:
     for more in found[1:]:
         rows = rows.unionByName(more)
     # The order of one tree is one sequence: its rows, no payloads, meet in one task.
-    numbered = rows.withColumn("seq", (F.row_number().over(Window.orderBy("path")) + first_seq - 1).cast("bigint"))
-    up = numbered.select(F.col("path").alias("_up"), F.col("seq").alias("parent_seq"))
+    numbered = rows.withColumn("seq", (F.row_number().over(Window.partitionBy("root").orderBy("path")) + first_seq - 1).cast("bigint"))
+    up = numbered.select("root", F.col("path").alias("_up"), F.col("seq").alias("parent_seq"))
     numbered = numbered.withColumn("_up", F.when(F.size("path") > 0, F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))))
-    return numbered.join(up, "_up", "left").select("seq", "parent_seq", "record_id", F.size("path").cast("bigint").alias("depth"), "path")
+    return numbered.join(up, ["root", "_up"], "left").select("root", "seq", "parent_seq", "record_id", F.size("path").cast("bigint").alias("depth"), "path")
 
 
 def within(pairs: DataFrame, ancestor: str) -> DataFrame:

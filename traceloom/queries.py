@@ -527,8 +527,9 @@ def _double(row: dict) -> str:
 
 @query()
 def stitch(spark, sf_dir):
-    """A recalled record's tree, numbered depth first; a child with two parents comes twice."""
-    edges = tree_edges(spark, sf_dir, lines=False).filter("substring(parent, 1, 1) in ('r', 'n')")
+    """The trees of all recalled records, each numbered depth first; a child with two parents comes twice."""
+    edges = tree_edges(spark, sf_dir)
+    roots = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("root"))
     index = F.row_number().over(Window.partitionBy("parent").orderBy("child"))
     children = edges.select(F.col("parent").alias("record_id"), index.alias("child_index"), F.col("child").alias("child_record_id"))
-    return spans.stitch(children, "r1").drop("path")
+    return spans.stitch_each(children, roots).drop("path")
