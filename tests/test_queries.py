@@ -56,3 +56,12 @@ def test_flagship_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_safe_names_of_whole_texts(spark):
+    from traceloom.functions import formats
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("text is not null")
+    rows = docs.select("text", formats.safe_name(docs["text"]).alias("name")).collect()
+    assert any(" " in r["text"][20:] for r in rows)
+    assert all(r["name"] == r["text"].replace("/", ".").replace("\\", ".").replace(" ", "_") for r in rows)
