@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -37,22 +38,45 @@ def test_language_on_held_out_texts(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id in (1000, 1001, 1002)").count() == 0 and kept.count() >= 400
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.identify(docs.limit(0)).count() == 0
+    assert language.accepted(docs.withColumn("lang", F.lit(None).cast("string"))).count() == len(rows) + 2  # nothing to reject by
 
 
-def test_rare_languages_are_learned(spark, monkeypatch):
+def test_long_texts_are_counted_whole(monkeypatch):
+    text = prose("de", 3000, 1)
+    whole = language.gram_counts(text)
+    raw = f" {text} ".encode()
+    assert whole.sum() == len(raw) - 2
+    monkeypatch.setattr(language, "PIECE", 37)
+    assert (language.gram_counts(text) == whole).all()
+
+
+def test_machines_against_an_exact_solution():
+    """The dual of two points has one solution; more points meet its conditions."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(40, 5))
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] > 0, 1.0, -1.0)
+    kernel = x @ x.T + 1
+    dual = language.svm(kernel, y, cost=2.0, epochs=20_000)
+    alpha, margin = dual * y, y * (kernel @ dual)
+    assert (alpha >= 0).all() and (alpha <= 2).all()
+    assert (margin[alpha < 1e-9] > 0.98).all() and (margin[alpha > 2 - 1e-9] < 1.02).all() and np.abs(margin[(alpha > 1e-9) & (alpha < 2 - 1e-9)] - 1).max() < 0.02
+    two = language.svm(np.array([[2.0, 1 - 1.0], [1 - 1.0, 2.0]]), np.array([1.0, -1.0]), cost=9.0, epochs=500)
+    assert np.allclose(two, [0.5, -0.5])  # minimises a'Ka/2 - sum(a) with K = 2I
+
+
+def test_rare_languages_are_learned(spark):
     rows = [(i, f"{prose('en', 4, i)} " + f"{chr(0x3B1 + i % 230)}{chr(0x5D0 + i % 23)} " * 8, f"x{i % 230:03d}") for i in range(230 * 6)]
     rows += [(10_000 + i, prose("en", 12, i), "en") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    learned = {}
-    monkeypatch.setattr(language, "train", lambda got: learned.update((r[0], learned.get(r[0], 0) + 1) for r in got))
-    assert language.fit(docs) is None
+    learned = Counter(r["lang"] for r in language.sample(docs).collect())
+    assert language.sample(docs.union(docs)).count() <= sum(learned.values())  # a repeated row is learned from once
     known = {r["lang"]: r["count"] for r in docs.filter(~language.held_out(F.col("doc_id"))).groupBy("lang").count().collect()}
     assert len(known) > 220 and set(learned) == set(known)
     assert all(learned[x] == known[x] for x in known if x != "en") and 0 < learned["en"] < 60
 
 
 def test_one_versus_one_votes():
-    rows = [(lang, g.tolist(), (n / n.sum()).tolist()) for lang in WORDS for k in range(20) for g, n in [np.unique(language._grams([prose(lang, 30, k)])[0], return_counts=True)]]
+    rows = [(lang, np.flatnonzero(n), n[n > 0] / n.sum()) for lang in WORDS for k in range(20) for n in [language.gram_counts(prose(lang, 30, k))]]
     model = language.train(rows)
     assert set(model.families) == {"germanic", "romance"} and sorted(model.pairs) == [("de", "en"), ("es", "fr")]
     assert model.predict([prose(x, 12, 99) for x in WORDS])[0] == list(WORDS)
