@@ -56,6 +56,13 @@ def test_deduplicate_keeps_columns_and_one_of_each(docs):
     assert ids == [2, 4, 6, 7, 8, 9]
 
 
+@pytest.mark.parametrize("name", ["_tl_rows", "_tl_id", "rows", "id", "sha", "ROWS", "keep_id", "_key", "recipe"])
+def test_deduplicate_with_columns_of_any_name(spark, name):
+    docs = spark.createDataFrame([(1, "t", 1), (2, "t", 2), (2, "t", 3), (4, None, 4), (4, "", 5)], f"doc_id long, text string, {name} int")
+    kept = exact_recipes.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 4]
+
+
 def test_mix_equals_its_sql(spark, docs):
     rows = against_sql("op6_temperature_mix", mixing.mix(docs), documents=docs)
     assert len(rows) == len(DOCS)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from traceloom.llm import near_dup, suffix_dedup
 from traceloom.llm.components import connected
@@ -88,6 +89,35 @@ def test_one_of_each_keeps_columns(spark):
     assert near_dup.near_groups(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("names", [("_jk", "_lh"), ("id", "mark"), ("rows", "first"), ("extra", "doc"), ("node", "ID_")])
+def test_one_of_each_tells_rows_apart_by_their_texts(spark, names):
+    t, u = "a b c d e f g h", "nothing like the other text at all here"
+    rows = [(3, t, 0, 1), (5, t, 0, 2), (5, u, 0, 3), (None, t, 0, 4), (None, u + " x y z", 0, 5), (7, "w " * 9, 0, 6), (7, "w " * 9, 1, 6), (None, None, 0, 7), (8, "", 0, 8)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {names[0]} int, {names[1]} int")
+    kept = near_dup.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r[3] for r in kept.collect()) == [1, 3, 5, 6, 7, 8]
+
+
+def test_a_crowded_bucket_of_unlike_texts_moves_in_proportion(spark, monkeypatch):
+    """3,000 unlike sets in one bucket, two of them similar but neither the centre of a star."""
+    r = np.random.default_rng(5)
+    fixed = np.array([(k << 54) + 7 for k in range(10)], np.uint64)  # the same low hashes in the first bins
+    sets = [np.unique(np.append(fixed, r.integers(0, 1 << 63, 30, dtype=np.uint64))) for _ in range(3000)]
+    twin = np.unique(np.append(sets[100][:-1], r.integers(0, 1 << 63, 1, dtype=np.uint64)))
+    rows_each, sets = near_dup.rows_per_band(80), [*sets, twin]
+    bands, again = band_hashes(sketches(sets, near_dup.BANDS * rows_each), near_dup.BANDS), band_hashes(sketches(sets, near_dup.BANDS * rows_each, 1), near_dup.BANDS)
+    bands[:, 0] = 1  # one bucket holds all
+    monkeypatch.setattr(near_dup, "ASKED", 500)
+    monkeypatch.setattr(near_dup, "ASKING", 100)
+    table = spark.createDataFrame([(near_dup._set_key(s), s.tobytes(), b.tolist(), g.tolist()) for s, b, g in zip(sets, bands, again, strict=True)], "node binary, set binary, bands array<long>, again array<long>")
+    placed = table.select(F.lit(1).cast("long").alias("key"), F.lit(0).alias("band"), "node", F.col("node").alias("comp"))
+    blocks = near_dup._open_blocks(placed, table)
+    assert blocks.count() < 3 * near_dup.BANDS * len(sets)
+    blocks = blocks.repartition(4, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    links = {frozenset(map(bytes, x)) for x in blocks.mapInPandas(near_dup._block_tester(80), "a binary, b binary").collect()}
+    assert links == {frozenset((near_dup._set_key(sets[100]), near_dup._set_key(twin)))}
+
+
 def test_sketches_agree_as_often_as_sets_do():
     r = np.random.default_rng(0)
     for n, common in ((7, 6), (40, 30), (2000, 1700)):

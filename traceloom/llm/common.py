@@ -1,24 +1,13 @@
-"""Shared plumbing: tables in the cluster's shared folder, ordered neighbours, asserts on columns."""
+"""Shared plumbing: tables in the cluster's shared folder, ordered ranges, column names that do not clash."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_FALLBACK: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh local one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="traceloom-")
-    return _FALLBACK[app]
+from traceloom.shared import delete_path, shared_root
 
 
 class Scratch:
@@ -36,9 +25,7 @@ class Scratch:
         return self.spark.read.schema(like.schema).parquet(f"{self.path}/{label}")
 
     def drop(self, label: str = "") -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{label}" if label else self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(self.spark, f"{self.path}/{label}" if label else self.path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -49,13 +36,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it; Spark does not tell case apart."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def range_bounds(keys: DataFrame, column: str, parts: int) -> tuple[list, list]:
     """(least key, greatest key) of each of at most `parts` ranges of the keys, in order; nulls aside.
 
     Only the key column is moved, and one row a range comes to the driver.
     """
-    from pyspark.sql import functions as F
-
     ranges = keys.select(F.col(column).alias("k")).filter("k is not null").repartitionByRange(parts, "k")
     ends = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).collect()
     ends.sort(key=lambda r: r["lo"])

@@ -7,7 +7,9 @@ stands for one content; after that only recipes, the ordered lists of identifier
 Defined results: a null text counts as empty; an empty text has the empty recipe, so all empty texts are
 equal. Of equal texts the row with the largest doc_id stays (a null doc_id only if there is no other).
 Repeated rows with one doc_id and one text all count in group_size and share their verdict; `deduplicate`
-keeps one of them. Extra columns of any name are harmless.
+keeps one of them. Equal texts tie, whichever their other columns. A very long text is cut into chunks of at most
+MAX_CHUNK characters, and its recipe is far shorter than it is; in scripts without the letters of a cut every chunk has
+that length. An empty table gives an empty result. Extra columns of any name are harmless.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.llm.common import fresh
+
 MIN_CHUNK, MAX_CHUNK = 512, 8192
 # A cut follows two letters of fixed classes at a word's end and one of a fixed class after it.
 CHUNK_RE = f"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?[acegikmoqsuwyéáóúß][bdfhjlnprtvxzè,.][ \\n][A-Ma-m]|.{{1,{MAX_CHUNK}}}"
@@ -56,9 +60,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all its columns, without the rows that exact_groups drops; of rows that repeat a doc_id and text, one stays."""
-    verdicts = exact_groups(docs, id_col, text_col).filter("kept").groupBy(F.col("doc_id").alias("_tl_id"), F.col("text_sha256").alias("_tl_sha")).agg(F.count(F.lit(1)).alias("_tl_rows"))
-    sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
-    kept = docs.join(verdicts, docs[id_col].eqNullSafe(F.col("_tl_id")) & (sha == F.col("_tl_sha")))
+    id_, sha, rows = fresh(docs, "id", "sha", "rows")
+    verdicts = exact_groups(docs, id_col, text_col).filter("kept").groupBy(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).agg(F.count(F.lit(1)).alias(rows))
+    own = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    kept = docs.join(verdicts, docs[id_col].eqNullSafe(F.col(id_)) & (own == F.col(sha)))
     # Only rows that are repeated as wholes are moved again.
-    once, repeated = kept.filter("_tl_rows = 1"), kept.filter("_tl_rows > 1").dropDuplicates([id_col, text_col])
+    once, repeated = kept.filter(F.col(rows) == 1), kept.filter(F.col(rows) > 1).dropDuplicates([id_col, sha])
     return once.select(*[docs[c] for c in docs.columns]).unionByName(repeated.select(*[docs[c] for c in docs.columns]))

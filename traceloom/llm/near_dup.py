@@ -4,15 +4,18 @@ A document is the set of its word shingles. Documents of one set are one node. E
 one permutation and optimal densification, the sketch is cut into bands, and nodes that agree in a band share a
 bucket. In every bucket each node is paired with one alone, a star, so pairs grow with the nodes and not with
 their square; a pair is a link if the full sets are similar enough. Where a bucket's nodes are not all connected
-after that, those outside its largest component could still be similar to others: they are dealt in blocks of
-ASKING nodes and the bucket in blocks of ASKED, and each two blocks meet in one task, which returns links alone;
-a pair is compared only in the first band that it shares. Bands and rows are chosen so that a pair at the limit is missed in no
-bucket with a chance under MISS.
+after that, those outside its largest component could still be similar to others of it. A bucket of over ASKED
+nodes is first split by the bands of a second permutation, so that its nodes move BANDS times at most and only
+those that agree again meet. Then the open nodes are dealt in blocks of ASKING, their mates in blocks of ASKED, and
+each two blocks meet in one task, which returns links alone; a pair is compared only in the first band that it
+shares. Bands and rows are chosen so that a pair at the limit is missed with a chance under MISS by each permutation.
 
 Defined results: null texts count as empty; a document without words has no shingle, is linked with nothing and
 is its own component. Fewer words than a shingle's are one shingle. component_id is the least doc_id that can
 be reached; rows that repeat a doc_id are documents of their own, and share a component if their sets do; a null
-doc_id is never the least unless its component has no other. Extra columns are not read.
+doc_id is never the least unless its component has no other. A very long text is shingled as a whole, in one task, in
+about forty times its words' number of bytes. Equal sets tie, and are one node. An empty table gives an empty result.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import Scratch, partitions
+from traceloom.llm.common import Scratch, fresh, partitions
 from traceloom.llm.components import connected, keyed_join
 from traceloom.llm.shingles import band_hashes, shingle_sets, similar, sketches
 from traceloom.llm.word_tokens import slices
@@ -48,13 +51,14 @@ def _set_key(s: np.ndarray) -> bytes:
 def _signer(size: int, rows: int):
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            docs, texts = pdf["doc_id"].astype("Int64"), pdf["text"].tolist()
+            docs, marks, texts = pdf["doc_id"].astype("Int64"), pdf["mark"].to_numpy(), pdf["text"].tolist()
             for a, b in slices(texts, 1_000_000):
                 sets = shingle_sets(texts[a:b], size)
                 bands = band_hashes(sketches(sets, BANDS * rows), BANDS)
                 yield pd.DataFrame(
                     {
                         "doc_id": docs.iloc[a:b].array,
+                        "mark": marks[a:b],
                         "n_shingles": [len(s) for s in sets],
                         "node": [_set_key(s) if len(s) else None for s in sets],
                         "bands": [h if len(s) else None for s, h in zip(sets, bands, strict=True)],
@@ -67,18 +71,19 @@ def _signer(size: int, rows: int):
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     squeeze = zstandard.ZstdCompressor(level=1)
     for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "packed": [squeeze.compress(t.encode()) for t in pdf["text"]]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "mark": pdf["mark"], "packed": [squeeze.compress(t.encode()) for t in pdf["text"]]})
 
 
-def _set_maker(size: int):
+def _set_maker(size: int, rows: int):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         expand = zstandard.ZstdDecompressor()
         for pdf in batches:
             texts = [expand.decompress(p).decode() for p in pdf["packed"]]
             for a, b in slices(texts, 1_000_000):
                 sets = shingle_sets(texts[a:b], size)
-                keep = [(n, s.tobytes(), h) for n, s, h in zip(pdf["node"].iloc[a:b], sets, pdf["bands"].iloc[a:b], strict=True) if _set_key(s) == n]
-                yield pd.DataFrame(keep, columns=["node", "set", "bands"])
+                again = band_hashes(sketches(sets, BANDS * rows, 1), BANDS)
+                keep = [(n, s.tobytes(), h, g) for n, s, h, g in zip(pdf["node"].iloc[a:b], sets, pdf["bands"].iloc[a:b], again, strict=True) if _set_key(s) == n]
+                yield pd.DataFrame(keep, columns=["node", "set", "bands", "again"])
 
     return make
 
@@ -102,23 +107,25 @@ def _verifier(percent: int):
 
 
 def _block_tester(percent: int):
-    def test(rows: list[tuple], band: int) -> list[tuple[bytes, bytes]]:
-        """rows: (whether it asks, whether it is minor, node, comp, set, bands)."""
+    def test(rows: list[tuple], band: int, split: int) -> list[tuple[bytes, bytes]]:
+        """rows: (whether it asks, whether it is minor, node, comp, set, bands, again); split: the band of `again` they share, or -1."""
         asking, asked = [r for r in rows if r[0]], [r for r in rows if not r[0]]
         if not asking or not asked:
             return []
         names = {c: k for k, c in enumerate(dict.fromkeys(r[3] for r in rows))}
         comp = np.array([names[r[3]] for r in asked])
         minor, nodes = np.array([r[1] for r in asked], bool), [r[2] for r in asked]
-        sets, bands = [np.frombuffer(r[4], np.uint64) for r in asked], np.stack([r[5] for r in asked])
+        sets, bands, again = [np.frombuffer(r[4], np.uint64) for r in asked], np.stack([r[5] for r in asked]), np.stack([r[6] for r in asked])
         sizes = np.array([len(s) for s in sets])
         links = []
-        for _, _, node, c, data, hashes in asking:
+        for _, _, node, c, data, hashes, hashes2 in asking:
             own, mine = np.frombuffer(data, np.uint64), names[c]
             at = np.flatnonzero((comp != mine) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own))))
-            if not len(at):
-                continue
-            for k in at[(bands[at] == hashes).argmax(1) == band]:
+            if len(at):
+                at = at[(bands[at] == hashes).argmax(1) == band]
+            if len(at) and split >= 0:
+                at = at[(again[at] == hashes2).argmax(1) == split]
+            for k in at:
                 # Two minor nodes ask each other; once is enough.
                 if comp[k] != mine and (not minor[k] or node < nodes[k]) and similar(own, sets[k], percent):
                     links.append((node, nodes[k]))
@@ -126,30 +133,55 @@ def _block_tester(percent: int):
         return links
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, held, here = None, [], 0
+        task, held, here = None, [], (0, -1)
         for pdf in batches:
             links = []
-            for key, band, x, y, *row in pdf.itertuples(index=False):
+            for key, band, split, x, y, *row in pdf.itertuples(index=False):
                 if (key, x, y) != task:
-                    links += test(held, here)
-                    task, held, here = (key, x, y), [], band
+                    links += test(held, *here)
+                    task, held, here = (key, x, y), [], (band, split)
                 held.append(row)
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])
-        if links := test(held, here):
+        if links := test(held, *here):
             yield pd.DataFrame(links, columns=["a", "b"])
 
     return run
 
 
-def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+def _open_blocks(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """What the stars leave open, dealt in blocks: the rows of _block_tester(), from placed(key, band, node, comp)."""
+    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+    parts = parts.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("major"), F.sum("size").alias("m"), F.max("size").alias("most"))
+    parts = parts.filter("most < m and m > 2").select("key", "major", "m")
+    rest = keyed_join(placed, parts, "key").withColumn("minor", F.col("comp") != F.col("major")).drop("major")
+    few = rest.filter(F.col("m") <= ASKED).select("key", "band", F.lit(-1).alias("split"), "node", "comp", "minor")
+    crowd = keyed_join(rest.filter(F.col("m") > ASKED), sets.select("node", "again"), "node").select("key", "band", "node", "comp", "minor", F.posexplode("again").alias("split", "hash"))
+    crowd = crowd.select(F.xxhash64("key", "split", "hash").alias("key"), "band", "split", "node", "comp", "minor")
+    rest = few.unionByName(crowd)
+    sizes = rest.groupBy("key").agg(F.count_if("minor").alias("asks"), F.count(F.lit(1)).alias("n")).filter("asks > 0 and n > 1")
+    sizes = sizes.select("key", F.ceil(F.col("asks") / ASKING).cast("int").alias("xs"), F.ceil(F.col("n") / ASKED).cast("int").alias("ys"))
+    rest = keyed_join(rest, sizes, "key")
+    x, y = F.pmod(F.xxhash64("node"), "xs").cast("int"), F.pmod(F.xxhash64("node"), "ys").cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asking = rest.filter("minor").select("key", "band", "split", x.alias("x"), every("ys").alias("y"), F.lit(True).alias("asks"), "minor", "node", "comp")
+    asked = rest.select("key", "band", "split", every("xs").alias("x"), y.alias("y"), F.lit(False).alias("asks"), "minor", "node", "comp")
+    return keyed_join(asking.unionByName(asked), sets, "node").select("key", "band", "split", "x", "y", "asks", "minor", "node", "comp", "set", "bands", "again")
+
+
+def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, first for each row of docs(doc_id, text).
+
+    first(no_id, doc_id, mark) names the least row of its class, rows without doc_id last; it is null without words.
+    """
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "near"), partitions(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = scratch.save(texts.mapInPandas(_signer(size, rows_per_band(percent)), "doc_id long, n_shingles long, node binary, bands array<long>"), "signed")
+    rows_each = rows_per_band(percent)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    signed = scratch.save(texts.mapInPandas(_signer(size, rows_each), "doc_id long, mark long, n_shingles long, node binary, bands array<long>"), "signed")
     # One row a set; equal sets have equal bands.
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min(row).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     postings = nodes.select("node", "n", F.posexplode("bands").alias("band", "hash")).select("node", "n", "band", F.xxhash64("band", "hash").alias("key"))
     # Only what shares a bucket goes on.
     buckets = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -163,10 +195,11 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
     # Sets of the nodes in buckets, made again from the texts of one document each.
     wanted = shared.select("node").distinct()
-    chosen = keyed_join(nodes.select("node", "least", "bands"), wanted, "node").select("node", "bands", F.coalesce("least", F.lit(-1)).alias("_id"))
-    packed = texts.mapInPandas(_packed, "doc_id long, packed binary").withColumn("_doc", F.coalesce("doc_id", F.lit(-1)))
-    sets = packed.join(chosen, F.col("_doc") == F.col("_id")).select("node", "bands", "packed")
-    sets = scratch.save(sets.mapInPandas(_set_maker(size), "node binary, set binary, bands array<long>").dropDuplicates(["node"]), "sets")
+    chosen = keyed_join(nodes.select("node", "least", "bands"), wanted, "node").select("node", "bands", F.coalesce("least.doc_id", F.lit(-1)).alias("_id"), F.col("least.mark").alias("_mark"))
+    packed = texts.mapInPandas(_packed, "doc_id long, mark long, packed binary").withColumn("_doc", F.coalesce("doc_id", F.lit(-1)))
+    # By id and text, so that rows that repeat an id do not meet each other's sets.
+    sets = packed.join(chosen, (F.col("_doc") == F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("node", "bands", "packed")
+    sets = scratch.save(sets.mapInPandas(_set_maker(size, rows_each), "node binary, set binary, bands array<long>, again array<long>").dropDuplicates(["node"]), "sets")
 
     # A centre of many pairs is dealt to several tasks, SALT pairs each.
     pairs = scratch.save(pairs, "pairs")
@@ -179,33 +212,40 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     links = scratch.save(rows.mapInPandas(_verifier(percent), "a binary, b binary"), "links")
     labels = connected(links, scratch, "star")
 
-    # What the stars leave open: in each bucket, nodes outside its largest component against all others.
     placed = keyed_join(shared.select("key", "band", "node"), labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    parts = parts.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("major"), F.sum("size").alias("m"), F.max("size").alias("most"))
-    parts = parts.filter("most < m and m > 2").select("key", "major", F.ceil((F.col("m") - F.col("most")) / ASKING).cast("int").alias("xs"), F.ceil(F.col("m") / ASKED).cast("int").alias("ys"))
-    rest = keyed_join(placed, parts, "key").withColumn("minor", F.col("comp") != F.col("major"))
-    x, y = F.pmod(F.xxhash64("node"), "xs").cast("int"), F.pmod(F.xxhash64("node"), "ys").cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    asking = rest.filter("minor").select("key", "band", x.alias("x"), every("ys").alias("y"), F.lit(True).alias("asks"), "minor", "node", "comp")
-    asked = rest.select("key", "band", every("xs").alias("x"), y.alias("y"), F.lit(False).alias("asks"), "minor", "node", "comp")
-    rest = keyed_join(asking.unionByName(asked), sets, "node").select("key", "band", "x", "y", "asks", "minor", "node", "comp", "set", "bands")
-    rest = rest.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    more = scratch.save(rest.mapInPandas(_block_tester(percent), "a binary, b binary"), "more")
+    placed = scratch.save(placed, "placed")
+    blocks = _open_blocks(placed, sets).repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    more = scratch.save(blocks.mapInPandas(_block_tester(percent), "a binary, b binary"), "more")
     if not more.isEmpty():
         labels = connected(links.unionByName(more), scratch, "all")
-    for done in ("shared", "sets", "pairs", "links", "more"):
+    for done in ("shared", "sets", "pairs", "links", "placed", "more"):
         scratch.drop(done)
 
-    classes = keyed_join(nodes.select("node", "least"), labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    classes = keyed_join(classes, least, "comp").select("node", "component_id")
-    out = keyed_join(signed.select("doc_id", "n_shingles", "node"), classes, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    found = keyed_join(nodes.select("node", "least"), labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    first = found.groupBy("comp").agg(F.min("least").alias("first"))
+    found = keyed_join(found, first, "comp").select("node", "first")
+    return keyed_join(signed.select("doc_id", "mark", "n_shingles", "node"), found, "node", "left").select("doc_id", "mark", "n_shingles", "first")
+
+
+def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return classes(docs, size, percent).select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs, with all its columns, without the documents that are near another one of a smaller doc_id."""
-    dropped = near_groups(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("_tl_id")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_tl_id"]), "left_anti")
+    """docs, with all its columns, with one row of each class: that of the least doc_id, rows without one last.
+
+    Rows are told apart by doc_id and text; of rows that repeat both, one stays. Rows without words all stay.
+    """
+    id_, mark, extra = fresh(docs, "id", "mark", "extra")
+    rows = classes(docs, size, percent).filter("first is not null").groupBy("doc_id", "mark").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("rows"))
+    gone = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
+    marked = rows.filter(gone | (F.col("rows") > 1)).select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), (~gone).alias(extra))
+    marked = Scratch(docs.sparkSession, "near-verdicts").save(marked, "rows")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(mark))
+    kept = docs.join(marked.filter(~F.col(extra)), same, "left_anti")
+    twice = marked.filter(extra)
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

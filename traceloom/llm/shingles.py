@@ -50,14 +50,16 @@ def _probe(attempt: int, bins: int) -> np.ndarray:
     return (_mix(np.arange(bins, dtype=np.uint64) * _C[1] + np.uint64(attempt * int(_C[0]) & 0xFFFFFFFFFFFFFFFF)) % np.uint64(bins)).astype(np.int64)
 
 
-def sketches(sets: list[np.ndarray], bins: int) -> np.ndarray:
-    """One row a set: in each bin the least hash that one permutation throws there.
+def sketches(sets: list[np.ndarray], bins: int, deal: int = 0) -> np.ndarray:
+    """One row a set: in each bin the least hash that one permutation throws there; `deal` chooses the permutation.
 
     An empty bin copies a bin that holds something, found by looks that do not depend on the set, so that two
     sets agree in it as often as their similarity says. Rows of empty sets mean nothing.
     """
     counts = np.array([len(s) for s in sets], np.int64)
     every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    if deal:
+        every = _mix(every ^ np.uint64(deal * int(_C[4]) & 0xFFFFFFFFFFFFFFFF))
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     sketch = np.full(len(sets) * bins, none)
     at = np.repeat(np.arange(len(sets)) * bins, counts) + ((every >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
