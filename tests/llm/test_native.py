@@ -85,6 +85,32 @@ def test_mix_meets_its_targets(spark):
     assert kept.columns == docs.columns and kept.count() == out.filter("copies = 1").count()
 
 
+def test_shares_that_are_too_flat_are_sharpened_to_the_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPAN", 3)  # many stretches of blocks
+    rows = [(i, "w " * (5 + i % 9), f"s{k}") for k in range(8) for i in range(k * 1000, k * 1000 + 300 + 12 * k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        out = mixing.mix(docs)
+    against_sql("op6_temperature_mix", out, documents=docs)
+    weights = {r["source"]: r["weight"] for r in out.select("source", "weight").distinct().collect()}
+    entropy = -sum(w * math.log(w) for w in weights.values()) / math.log(8)
+    assert entropy == pytest.approx(mixing.ENTROPY_SHARE, abs=1e-4) and weights["s7"] > 0.15 > 0.1 > weights["s0"]
+    taken = {r["source"]: r["c"] for r in out.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("c")).collect()}
+    assert all(abs(taken[s] / sum(taken.values()) - weights[s]) < 0.01 for s in weights)
+    assert {r["copies"] for r in out.select("copies").distinct().collect()} == {0, 1, 2}
+    with pytest.warns(RuntimeWarning, match="entropy target not met"):
+        bound = mixing.mix(docs, max_repeats=1.1).groupBy("source").agg(F.max("weight").alias("w"), F.sum("n_tokens").alias("n"), F.sum(F.col("copies") * F.col("n_tokens")).alias("c")).collect()
+    assert max(r["c"] / r["n"] for r in bound) == pytest.approx(1.1, abs=0.01)
+
+
+@pytest.mark.parametrize("name", ["_tl_copies", "_tl_id", "copies", "nth", "ID", "more", "key", "place", "block"])
+def test_realised_with_columns_of_any_name(spark, name):
+    docs = spark.createDataFrame([(i, f"{'w ' * 9}{i}", "ab"[i % 2], i) for i in range(40)], f"doc_id long, text string, source string, {name} int")
+    got = mixing.realised(docs, budget_share=0.5)
+    assert got.columns == docs.columns and got.count() == 20
+
+
 def test_rows_without_an_id_are_taken_one_by_one(spark):
     rows = [(None, f"{'w ' * 9}{i}", "a", i) for i in range(40)] + [(7, f"{'v ' * 9}{i}", "b", i) for i in range(40)] + [(8, "same text " * 5, "c", i) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kept int").repartition(4)

@@ -103,29 +103,36 @@ SELECT page_id, host, path, rule, {verdict} AS verdict FROM ruled"""
 
 def _op6_sql() -> str:
     m = mixing
-    ok = f"""ln(z) - t * zl / z - {m.ENTROPY_SHARE} * ln(n) <= 1e-12 AND budget * pow(least_p, t - 1) / z / total - {m.MAX_REPEATS} <= 1e-12"""
-    z = "list_sum(list_transform(ps, lambda x: pow(x, {t})))"
-    zl = "list_sum(list_transform(ps, lambda x: pow(x, {t}) * ln(x)))"
+    z, zl = "list_sum(list_transform(qs, lambda x: pow(x, {t})))", "list_sum(list_transform(qs, lambda x: pow(x, {t}) * ln(x)))"
+    ok = f"ln(z) - t * zl / z - {m.ENTROPY_SHARE} * ln(n) <= 1e-12 AND budget * pow(least / most, t) / z / least - {m.MAX_REPEATS} <= 1e-12"
+    often = f"budget / z / most - {m.MAX_REPEATS} > 1e-12"
     h = lambda *parts: f"('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 15))::BIGINT"
+
+    def bisect(name: str, low: str, high: str, test: str) -> str:
+        """The least point in (low, high] from which on the test holds, for a test that holds at high."""
+        return f"""{name}(low, high, i) AS (
+  SELECT {low}::DOUBLE, {high}::DOUBLE, 0
+  UNION ALL
+  SELECT CASE WHEN good THEN low ELSE t END, CASE WHEN good THEN t ELSE high END, i + 1
+  FROM (SELECT low, high, i, t, {test} AS good
+        FROM (SELECT *, {z.format(t="t")} AS z, {zl.format(t="t")} AS zl FROM (SELECT low, high, i, (low + high) / 2 AS t, qs.* FROM {name}, qs WHERE i < 52))))"""
+
+    at = lambda t, test: f"(SELECT {test} FROM (SELECT *, {z.format(t='t')} AS z, {zl.format(t='t')} AS zl FROM (SELECT {t} AS t, qs.* FROM qs)))"
+    end = lambda name: f"round((SELECT high FROM {name} WHERE i = 52), {m.TAU_DIGITS})"
     return f"""
 WITH RECURSIVE counted AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{m.WORDS}')), 0)::BIGINT AS n_tokens FROM documents),
 sources AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS docs FROM counted GROUP BY source),
-tot AS (SELECT sum(tokens)::BIGINT AS total, round(sum(tokens) * {m.BUDGET_SHARE})::DOUBLE AS budget FROM sources),
-ps AS (SELECT list(tokens::DOUBLE / total) AS ps, min(tokens::DOUBLE / total) AS least_p, count(*) AS n, any_value(total)::DOUBLE AS total, any_value(budget) AS budget
-       FROM sources, tot WHERE tokens > 0),
-bisect(low, high, i) AS (
-  SELECT 0.0::DOUBLE, 1.0::DOUBLE, 0
-  UNION ALL
-  SELECT CASE WHEN good THEN low ELSE t END, CASE WHEN good THEN t ELSE high END, i + 1
-  FROM (SELECT low, high, i, t, {ok} AS good
-        FROM (SELECT low, high, i, t, n, least_p, budget, total, {z.format(t="t")} AS z, {zl.format(t="t")} AS zl
-              FROM (SELECT low, high, i, (low + high) / 2 AS t, ps.* FROM bisect, ps WHERE i < 45)))),
-flat AS (SELECT {ok} AS good FROM (SELECT 0.0::DOUBLE AS t, n, least_p, budget, total, {z.format(t="0.0")} AS z, {zl.format(t="0.0")} AS zl FROM ps)),
-tau AS (SELECT CASE WHEN (SELECT good FROM flat) THEN 0.0 ELSE round((SELECT high FROM bisect WHERE i = 45), {m.TAU_DIGITS}) END AS tau),
-powers AS (SELECT source, tokens, docs, CASE WHEN tokens > 0 THEN pow(tokens::DOUBLE / total, tau) ELSE 0 END AS w, budget FROM sources, tot, tau),
+tot AS (SELECT sum(tokens)::BIGINT AS total, max(tokens)::DOUBLE AS most, round(sum(tokens) * {m.BUDGET_SHARE})::DOUBLE AS budget FROM sources),
+qs AS (SELECT list(tokens / most) AS qs, min(tokens)::DOUBLE AS least, any_value(most) AS most, count(*) AS n, any_value(budget) AS budget FROM sources, tot WHERE tokens > 0),
+{bisect("flatter", "0.0", "1.0", ok)},
+{bisect("sharper", "1.0", f"{m.MOST}", ok)},
+found AS (SELECT CASE WHEN {at("0.0::DOUBLE", ok)} THEN 0.0 WHEN {at("1.0::DOUBLE", ok)} THEN {end("flatter")} WHEN {at(f"{m.MOST}::DOUBLE", ok)} THEN {end("sharper")} ELSE 1.0 END AS t),
+{bisect("rarer", "1.0", f"{m.MOST}", often)},
+tau AS (SELECT CASE WHEN t > 1 AND {at("(SELECT t FROM found)", f"budget / z / most - {m.MAX_REPEATS} > 1e-9")} THEN greatest(1.0, round({end("rarer")} - 1e-{m.TAU_DIGITS}, {m.TAU_DIGITS})) ELSE t END AS tau FROM found),
+powers AS (SELECT source, tokens, docs, CASE WHEN tokens > 0 THEN pow(tokens / most, tau) ELSE 0 END AS w, budget FROM sources, tot, tau),
 weights AS (SELECT source, tokens, docs, w / sum(w) OVER () AS weight, floor(budget * (w / sum(w) OVER ()) + 1e-6)::BIGINT AS target FROM powers),
 plan AS (SELECT source, weight, CASE WHEN tokens > 0 THEN target // tokens ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN target % tokens ELSE 0 END AS rest,
-                least(ceil(docs / {m.BLOCK_DOCS}.0), {m.MAX_BLOCKS})::BIGINT AS blocks FROM weights),
+                ceil(docs / {m.BLOCK_DOCS}.0)::BIGINT AS blocks FROM weights),
 dealt AS (SELECT doc_id, counted.source, n_tokens, weight, epochs, rest, ord, ord % blocks AS block
           FROM (SELECT *, {h("'7'", "coalesce(source, '(null)')", "coalesce(doc_id::VARCHAR, '')")} AS ord FROM counted) counted
           JOIN plan ON counted.source IS NOT DISTINCT FROM plan.source),
