@@ -30,7 +30,7 @@ from traceloom.llm.common import Scratch, fresh
 ENTROPY_SHARE, MAX_REPEATS, BUDGET_SHARE = 0.97, 4.0, 1.0
 BLOCK_DOCS, SPAN = 64, 4096
 WORDS = "[^\\x20\\x09-\\x0D]+"
-MOST, POINTS, TAU_DIGITS = 64.0, 256, 6
+MOST, POINTS, TAU_DIGITS = 64.0, 2048, 6
 
 
 def tokens(text: Column) -> Column:
@@ -51,26 +51,29 @@ def find_exponent(sources: DataFrame, budget: float, entropy_share: float = ENTR
         return 0.0
     share = held.select((F.col("tokens") / seen["most"]).alias("q"))  # of the largest, so that no power vanishes
 
-    def measure(low: float, step: float, points: int) -> list[tuple[float, float, float, float]]:
-        """(point, entropy over target, repeats of the least source over the limit, of the largest) at low, low + step, ..."""
-        each = share.select("q", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("w", F.pow("q", F.lit(low) + F.lit(step) * F.col("i")))
+    def measure(points: list[float]) -> list[tuple[float, float, float, float]]:
+        """(point, entropy over target, repeats of the least source over the limit, of the largest) of each of evenly spaced points."""
+        low, step = points[0], (points[-1] - points[0]) / max(1, len(points) - 1)
+        each = share.select("q", F.explode(F.sequence(F.lit(0), F.lit(len(points) - 1))).alias("i")).withColumn("w", F.pow("q", F.lit(low) + F.lit(step) * F.col("i")))
+        sums = {r["i"]: r for r in each.groupBy("i").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.log("q")).alias("zl")).collect()}
         out = []
-        for r in each.groupBy("i").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.log("q")).alias("zl")).orderBy("i").collect():
-            t, z = low + step * r["i"], r["z"]
-            entropy = math.log(z) - t * r["zl"] / z
+        for i in range(len(points)):
+            t, z = low + step * i, sums[i]["z"]
+            entropy = math.log(z) - t * sums[i]["zl"] / z
             repeats = [budget * w / z / tokens - max_repeats for w, tokens in (((seen["least"] / seen["most"]) ** t, seen["least"]), (1.0, seen["most"]))]
             out.append((t, entropy - entropy_share * math.log(seen["n"]), *repeats))
         return out
 
     def least_good(low: float, high: float, good) -> float:
         """The least point in (low, high] from which on `good` holds; it holds at high."""
-        while high - low > 1e-9:
+        while high - low > 1e-10:
             step = (high - low) / POINTS
-            found = next((m[0] for m in measure(low + step, step, POINTS - 1) if good(m)), high)
+            found = next((m[0] for m in measure([low + step * i for i in range(1, POINTS)]) if good(m)), high)
             low, high = max(low, found - step), found
         return round(high, TAU_DIGITS)
 
-    flat, raw, sharp = measure(0.0, 0.0, 1)[0], measure(1.0, 0.0, 1)[0], measure(MOST, 0.0, 1)[0]
+    ends = measure([float(t) for t in range(int(MOST) + 1)])
+    flat, raw, sharp = ends[0], ends[1], ends[-1]
     meets = lambda m: m[1] <= 1e-12 and m[2] <= 1e-12
     if meets(flat):
         return 0.0
@@ -79,9 +82,9 @@ def find_exponent(sources: DataFrame, budget: float, entropy_share: float = ENTR
     if meets(raw):
         return least_good(0.0, 1.0, meets)
     tau = least_good(1.0, MOST, meets) if meets(sharp) else 1.0
-    if meets(sharp) and measure(tau, 0.0, 1)[0][3] > 1e-9:  # the largest source would come too often
+    if meets(sharp) and measure([tau])[0][3] > 1e-9:  # the largest source would come too often
         tau = max(1.0, round(least_good(1.0, tau, lambda m: m[3] > 1e-12) - 10.0**-TAU_DIGITS, TAU_DIGITS))
-    over = measure(tau, 0.0, 1)[0][1]
+    over = measure([tau])[0][1]
     if over > 1e-5:
         warnings.warn(f"entropy target not met: with exponent {tau} the entropy is {over:.6f} above {entropy_share} of the largest", RuntimeWarning, stacklevel=2)
     return tau
