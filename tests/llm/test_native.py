@@ -159,6 +159,15 @@ def test_url_verdicts(spark):
     assert url_reputation.judge(pages.limit(0), url_reputation.labelled_outcomes(pages, labels)).count() == 0
 
 
+def test_domains_of_ports_users_and_addresses(spark):
+    hosts = {"bad.example.com:80": "example.com com", "example.com": "example.com com", "me@a.b.co.uk:8": "b.co.uk co.uk", "10.0.0.1:8080": "10.0.0.1 ", "10.0.0.1": "10.0.0.1 ", "[::1]:80": "[::1] ", "localhost": "localhost localhost", "": " ", "co.uk": "co.uk co.uk"}
+    pages = spark.createDataFrame([(i, f"http://{h}/en/{i}") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = pages.select(url_reputation.url_host(F.col("url")).alias("h")).select("h", F.concat_ws(" ", url_reputation.registered_domain(F.col("h")), url_reputation.public_suffix(F.col("h"))).alias("d"))
+    assert {r["h"]: r["d"] for r in got.collect()} == hosts
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(len(hosts))], "doc_id long, quality int, toxic int")
+    against_sql("op1_url_reputation", url_reputation.judge(pages, url_reputation.labelled_outcomes(pages, labels)), pages=pages, labels=labels)
+
+
 def test_bad_hosts_are_blocked_by_their_posterior(spark):
     rows = [(i, f"http://{'bad' if i % 2 else 'fine'}.site.net/en/{i}") for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id long, url string")

@@ -81,19 +81,22 @@ def _op1_sql() -> str:
     ordered = sorted(u.RULES, key=lambda r: (-len(r[0]), r[0]))
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r, _ in ordered) + " END"
     verdict = "CASE " + " ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in ordered) + " ELSE own END"
-    domain = f"CASE WHEN regexp_extract(host, '{u.DOMAIN_RE}', 1) = '' THEN host ELSE regexp_extract(host, '{u.DOMAIN_RE}', 1) END"
+    name = f"regexp_extract(host, '{u.NAME_RE}', 1)"
+    address = f"regexp_matches({name}, '{u.ADDRESS_RE}')"
+    domain = f"CASE WHEN regexp_extract({name}, '{u.DOMAIN_RE}', 1) = '' OR {address} THEN {name} ELSE regexp_extract({name}, '{u.DOMAIN_RE}', 1) END"
+    suffix = f"CASE WHEN {address} THEN '' ELSE regexp_extract({name}, '{u.SUFFIX_RE}', 1) END"
     return f"""
 WITH urls AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{u.HOST_RE}', 1), {lower}) AS host,
                      regexp_extract(coalesce(url, ''), '{u.PATH_RE}', 1) AS path FROM pages),
 marks AS (SELECT doc_id, max(coalesce(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END, 0)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-hosts AS (SELECT host, {domain} AS domain, regexp_extract(host, '{u.SUFFIX_RE}', 1) AS suffix, count(*) AS n, sum(bad) AS k
+hosts AS (SELECT host, {domain} AS domain, {suffix} AS suffix, count(*) AS n, sum(bad) AS k
           FROM urls JOIN marks ON try_cast(regexp_extract(path, '^/[^/]+/([0-9]+)', 1) AS BIGINT) = doc_id GROUP BY ALL),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
 mh AS ({rho("hosts")}), md AS ({rho("domains")}), ms AS ({rho("suffixes")}),
 sm AS (SELECT suffix, (k + m * mu) / (n + m) AS s_mean FROM suffixes, ms),
 dm AS (SELECT domain, (k + m * s_mean) / (n + m) AS d_mean FROM domains JOIN sm USING (suffix), md),
-seen AS (SELECT DISTINCT host, {domain} AS domain, regexp_extract(host, '{u.SUFFIX_RE}', 1) AS suffix FROM urls),
+seen AS (SELECT DISTINCT host, {domain} AS domain, {suffix} AS suffix FROM urls),
 post AS (SELECT seen.host, coalesce(k, 0) + m * coalesce(d_mean, s_mean, mu) AS a, coalesce(n, 0) - coalesce(k, 0) + m * (1 - coalesce(d_mean, s_mean, mu)) AS b
          FROM seen LEFT JOIN hosts ON seen.host = hosts.host LEFT JOIN dm ON seen.domain = dm.domain LEFT JOIN sm ON seen.suffix = sm.suffix, mh),
 own AS (SELECT host, CASE WHEN a / (a + b) - {u.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {u.MAX_BAD_RATE} THEN 'block' ELSE 'allow' END AS own FROM post),

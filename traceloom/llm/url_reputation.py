@@ -8,8 +8,10 @@ bound of its bad-page rate exceeds a limit. Explicit rules go before the reputat
 
 Defined results: a null url, or one without `://`, has an empty host and path and is judged by the
 overall rate alone; a host without labelled pages inherits its domain's posterior; with no labels at all
-the rate is 0.5 with no strength behind it, so nothing is blocked. Repeated pages count as often as they
-occur. Only the named columns are read, so extra columns of any name are harmless.
+the rate is 0.5 with no strength behind it, so nothing is blocked. Hosts that differ in port or user are hosts of one
+domain; an address of numbers is a domain of its own without suffix. Repeated pages count as often as they
+occur. Rules of equal length that both fit are the same text, so they do not tie; a bound equal to the limit allows. Very long
+urls are judged whole; the html is not read. An empty table gives an empty result. Only the named columns are read, so extra columns of any name are harmless.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ TWO_LABEL_SUFFIXES = (
 _SUFFIX = "|".join(s.replace(".", "\\.") for s in TWO_LABEL_SUFFIXES) + "|[^.]+"
 HOST_RE = "(?s)^.*?://([^/?#]*)"
 PATH_RE = "(?s)^.*?://[^/?#]*([^?#]*)"
+# The name within a host: without user and port; an address of numbers has no domain above it.
+NAME_RE = "(?s)^(?:.*@)?(.*?)(?::[0-9]*)?$"
+ADDRESS_RE = "^(?:[0-9.]+|\\[.*)$"
 DOMAIN_RE = f"([^.]+\\.(?:{_SUFFIX}))$"
 SUFFIX_RE = f"(?:^|\\.)({_SUFFIX})$"
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -42,8 +47,14 @@ def url_path(url: Column) -> Column:
 
 
 def registered_domain(host: Column) -> Column:
-    found = F.regexp_extract(host, DOMAIN_RE, 1)
-    return F.when(found == "", host).otherwise(found)
+    name = F.regexp_extract(host, NAME_RE, 1)
+    found = F.regexp_extract(name, DOMAIN_RE, 1)
+    return F.when((found == "") | name.rlike(ADDRESS_RE), name).otherwise(found)
+
+
+def public_suffix(host: Column) -> Column:
+    name = F.regexp_extract(host, NAME_RE, 1)
+    return F.when(name.rlike(ADDRESS_RE), "").otherwise(F.regexp_extract(name, SUFFIX_RE, 1))
 
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -75,7 +86,7 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> tuple[DataFrame, DataF
     Only four numbers come to the driver. The tables have a row for each labelled host, domain and suffix.
     """
     hosts = outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("k"))
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", F.regexp_extract("host", SUFFIX_RE, 1))
+    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", public_suffix(F.col("host")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     rows = {}
@@ -93,7 +104,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad_rate: floa
     hosts, domains, suffixes, m = host_reputation(outcomes, z)
     # Posteriors are worked out once a host, however many pages it has.
     seen = urls.groupBy("host").agg(F.lit(1).alias("one")).drop("one")
-    seen = seen.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", F.regexp_extract("host", SUFFIX_RE, 1))
+    seen = seen.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", public_suffix(F.col("host")))
     seen = seen.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
     mean = F.coalesce("d_mean", "s_mean", F.lit(m["mu"]))
     a = F.coalesce("k", F.lit(0)) + m["host"] * mean
