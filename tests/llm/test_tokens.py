@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from traceloom.llm import packing, token_files
@@ -36,11 +37,12 @@ def test_word_cache_equals_whole_text_encoding():
         assert ids[at[k] : at[k + 1]].tolist() == expected_ids(text)
 
 
-@pytest.mark.parametrize("values", [[0], [0, 0, 0], [0, 5, 5, 900], list(range(0, 40000, 7)), [0, 1 << 33]])
+@pytest.mark.parametrize("values", [[0], [0, 0, 0], [0, 5, 5, 900], list(range(0, 40000, 7)), [0, 1 << 33], [3] * 500 + [1 << 20] * 300, [0, (1 << 63) - 1], list(np.cumsum(np.random.default_rng(0).integers(0, 5000, 900)))])
 def test_elias_fano_round_trip(values):
     code, end = EliasFano.from_bytes(b"xx" + EliasFano.encode(np.array(values)).to_bytes(), 2)
     assert code.all().tolist() == values
     assert [code.select(i) for i in range(len(values))] == values
+    assert code.select_many(np.arange(len(values))[::-1]).tolist() == values[::-1]
     with pytest.raises(IndexError):
         code.select(len(values))
 
@@ -48,7 +50,8 @@ def test_elias_fano_round_trip(values):
 def test_token_files_round_trip(spark, docs):
     blocks = token_files.write_blocks(docs, Scratch(spark, "t"), parts=3)
     got = sorted(map(tuple, token_files.read_documents(blocks).collect()), key=lambda r: r[1])
-    order = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    marks = {r["t"]: r["h"] for r in docs.select(F.coalesce("text", F.lit("")).alias("t")).select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, marks[r[1] or ""]))
     start, want = 0, []
     for doc, text in order:
         ids = expected_ids(text)

@@ -38,13 +38,36 @@ class EliasFano:
         """The i-th value."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at = int(self.samples[i // SAMPLE])
-        left, byte = i % SAMPLE, at // 8
-        bits = np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little")[at % 8 :]) + at
-        while len(bits) <= left:  # the next bytes, as far as it takes
-            left, byte = left - len(bits), byte + 1
-            bits = np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little")) + 8 * byte
-        return ((int(bits[left]) - i) << self.low_bits) | int(self._low(i, 1)[0])
+        return int(self.select_many(np.array([i]))[0])
+
+    def select_many(self, which: np.ndarray) -> np.ndarray:
+        """The values at the places `which`: from the sample before each, over 64 bits at a time, as far as it takes."""
+        which = np.asarray(which, np.int64)
+        bit = self.samples[which // SAMPLE].astype(np.int64)
+        words = np.frombuffer(self.high.tobytes() + bytes(-len(self.high) % 8), "<u8")
+        at = bit // 64
+        word = words[at] >> (bit % 64).astype(np.uint64) << (bit % 64).astype(np.uint64)  # nothing before the sample
+        left = which % SAMPLE
+        ahead = np.arange(len(which))
+        while len(ahead):
+            ones = np.bitwise_count(word[ahead]).astype(np.int64)
+            ahead, ones = ahead[left[ahead] >= ones], ones[left[ahead] >= ones]
+            left[ahead] -= ones
+            at[ahead] += 1
+            word[ahead] = words[at[ahead]]
+        for _ in range(int(left.max(initial=0))):  # the lowest ones go until the wanted one is the lowest
+            more = left > 0
+            word[more] &= word[more] - np.uint64(1)
+            left[more] -= 1
+        lowest = np.bitwise_count((word & (~word + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        return ((at * 64 + lowest - which) << self.low_bits) | self._low_many(which)
+
+    def _low_many(self, which: np.ndarray) -> np.ndarray:
+        if not self.low_bits:
+            return np.zeros(len(which), np.int64)
+        places = which[:, None] * self.low_bits + np.arange(self.low_bits)
+        bits = self.low[places // 8] >> (places % 8).astype(np.uint8) & np.uint8(1)
+        return bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
 
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))

@@ -3,15 +3,17 @@
 Documents are range-partitioned by doc_id, encoded, and written in that order as blocks of about
 BLOCK_TOKENS ids; each block is one self-contained binary record:
 
-    magic `TLTOKEN1`, bytes an id (2 or 4), number of documents, doc_ids (int64) with a mask of nulls,
-    Elias-Fano code of the boundaries (documents + 1 values), ids (little-endian)
+    magic `TLTOKEN2`, bytes an id (2 or 4), number of documents, of those without doc_id (they come first), first
+    doc_id, Elias-Fano code of the doc_ids over the first (ascending), Elias-Fano code of the boundaries
+    (documents + 1 values), ids (little-endian)
 
 Blocks are kept in a Parquet table, so any file system that Spark writes to will do, and a lost executor's
 half-written blocks are never seen. A select on the boundaries finds a document without reading the ids
 before it; where a partition's ids start in the whole array follows from the partitions' totals, one row each.
 
 Defined results: a null text counts as empty and gives the end id alone; null doc_ids come first; rows of
-equal doc_id are ordered by text. An empty table gives no block and no row. Extra columns are not read.
+equal doc_id are ordered by a hash of their text, by which many of them are also dealt to several tasks. A very long text is
+one document, encoded in one task and one block. An empty table gives no block and no row. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,28 +32,28 @@ from traceloom.llm.common import Scratch, partitions
 from traceloom.llm.elias_fano import EliasFano
 from traceloom.llm.word_tokens import encoder, slices, tokenizer_path
 
-MAGIC = b"TLTOKEN1"
+MAGIC = b"TLTOKEN2"
 BLOCK_TOKENS = 1 << 17
-_HEAD = struct.Struct("<8sBI")
+_HEAD = struct.Struct("<8sBIIq")
 BLOCKS = "part int, block int, first_doc long, n_docs int, n_tokens long, part_start long, payload binary"
 
 
 def pack_block(doc_ids: list, ids: np.ndarray, bounds: np.ndarray, id_bytes: int) -> bytes:
-    nulls = np.array([d is None for d in doc_ids], np.uint8)
-    keys = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    return _HEAD.pack(MAGIC, id_bytes, len(keys)) + keys.tobytes() + np.packbits(nulls).tobytes() + EliasFano.encode(bounds).to_bytes() + ids.astype(f"<u{id_bytes}").tobytes()
+    """doc_ids ascending, None first."""
+    known = [d for d in doc_ids if d is not None]
+    first = known[0] if known else 0
+    over = np.array([d - first for d in known], np.uint64)
+    return _HEAD.pack(MAGIC, id_bytes, len(doc_ids), len(doc_ids) - len(known), first) + EliasFano.encode(over).to_bytes() + EliasFano.encode(bounds).to_bytes() + ids.astype(f"<u{id_bytes}").tobytes()
 
 
 def open_block(payload: bytes) -> tuple[list, EliasFano, np.ndarray]:
     """(doc_ids, boundaries, ids as a view of the payload)."""
-    magic, id_bytes, n = _HEAD.unpack_from(payload)
+    magic, id_bytes, n, nulls, first = _HEAD.unpack_from(payload)
     if magic != MAGIC:
         raise ValueError("not a token block")
-    at = _HEAD.size
-    keys, at = np.frombuffer(payload, "<i8", n, at), at + 8 * n
-    nulls, at = np.unpackbits(np.frombuffer(payload, np.uint8, -(-n // 8), at))[:n], at + -(-n // 8)
+    over, at = EliasFano.from_bytes(payload, _HEAD.size)
     bounds, at = EliasFano.from_bytes(payload, at)
-    return [None if x else int(k) for k, x in zip(keys, nulls, strict=True)], bounds, np.frombuffer(payload, f"<u{id_bytes}", -1, at)
+    return [None] * nulls + [first + k for k in over.select_many(np.arange(n - nulls)).tolist()], bounds, np.frombuffer(payload, f"<u{id_bytes}", -1, at)
 
 
 def document_ids(payload: bytes, i: int) -> np.ndarray:
@@ -94,8 +96,9 @@ def _writer(path: str):
 
 def write_blocks(docs: DataFrame, scratch: Scratch, path: str | None = None, label: str = "tokens", parts: int | None = None) -> DataFrame:
     """The table of blocks for docs(doc_id, text), in ascending doc_id order within and between its partitions."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = texts.repartitionByRange(parts or partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    order = (F.col("doc_id").asc_nulls_first(), "mark")
+    ordered = texts.repartitionByRange(parts or partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     return scratch.save(ordered.mapInPandas(_writer(path or tokenizer_path()), BLOCKS), label, "zstd")
 
 
@@ -117,7 +120,7 @@ def read_documents(blocks: DataFrame) -> DataFrame:
         for pdf in batches:
             for part, part_start, payload in zip(pdf["part"], pdf["part_start"], pdf["payload"], strict=True):
                 keys, code, ids = open_block(payload)
-                bounds, wide = code.all(), ids.astype("<u4")
+                bounds, wide = code.select_many(np.arange(code.n)), ids.astype("<u4")
                 sums = [zlib.crc32(wide[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "start": bounds[:-1] + part_start + starts[part], "n_tokens": np.diff(bounds), "ids_crc32": sums})
 
