@@ -167,6 +167,80 @@ def test_features_equal_brute_force_in_any_grouping():
     assert alone == [feature_digest.to_text(d) for d in feature_digest.digests(texts, rank)]
 
 
+def test_long_texts_have_the_same_features_in_pieces(monkeypatch):
+    texts = [prose("en", 900, 1).encode(), b"a" * 3000, b"0123456789" * 300, random.Random(3).randbytes(3000), prose("fr", 700, 2).encode() * 2, b"x" * 1501, b"ab" * 800 + random.Random(4).randbytes(50) + b"ab" * 800]
+    rank = feature_digest.rarity(feature_digest.level_counts(texts))
+    whole = [(feature_digest.level_counts([t]).tolist(), feature_digest.to_text(feature_digest.digests([t], rank)[0])) for t in texts]
+    for chunk in (100, 333, 1500):
+        monkeypatch.setattr(feature_digest, "CHUNK", chunk)
+        assert [(feature_digest.level_counts([t]).tolist(), feature_digest.to_text(feature_digest.digests([t], rank)[0])) for t in texts] == whole
+
+
+def brute_digest(text, rank):
+    """Chained Bloom filters bit by bit, from the features of brute_features()."""
+    f, seen, chain = feature_digest, [], []
+    b = text if len(text) >= f.WINDOW or not text else text.ljust(f.WINDOW, b"\0")
+    for i in brute_features(text, rank):
+        h = 0x9E3779B97F4A7C15
+        for k in range(0, f.WINDOW, 8):
+            h = (h ^ int.from_bytes(b[i + k : i + k + 8], "little")) * 0xFF51AFD7ED558CCD % (1 << 64)
+            h ^= h >> 32
+        h = h * 0xC4CEB9FE1A85EC53 % (1 << 64)
+        h ^= h >> 29
+        if h in seen:
+            continue
+        if len(seen) % f.FILL == 0:
+            chain.append([0] * f.BITS)
+        seen.append(h)
+        for k in range(f.HASHES):
+            chain[-1][(h >> 11 * k) % f.BITS] = 1
+    return chain, len(seen)
+
+
+def brute_likeness(x, y):
+    f, (a, na), (b, nb) = feature_digest, x, y
+    if x == y:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    sizes = lambda chain, n: [f.FILL] * (len(chain) - 1) + [n - (len(chain) - 1) * f.FILL]
+
+    def score(p, n, q, m):
+        most, both, keep = min(sum(p), sum(q)), sum(i & j for i, j in zip(p, q, strict=True)), 1 - 1 / f.BITS
+        chance = f.BITS * (1 - keep ** (f.HASHES * n) - keep ** (f.HASHES * m) + keep ** (f.HASHES * (n + m)))
+        floor = min(chance + f.CHANCE_MARGIN * (most - chance), most - 1e-9)
+        return min(1.0, max(0.0, (both - floor) / (most - floor)))
+
+    mean = lambda c, n, d, m: sum(k * max(score(p, k, q, j) for q, j in zip(d, sizes(d, m), strict=True)) for p, k in zip(c, sizes(c, n), strict=True)) / n
+    ways = [mean(a, na, b, nb)] * (len(a) <= len(b)) + [mean(b, nb, a, na)] * (len(b) <= len(a))
+    return sum(ways) / len(ways)
+
+
+def test_filters_and_likeness_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(feature_digest, "FILL", 40)  # longer chains
+    texts = [prose(x, n, n).encode() for n in (0, 1, 9, 60, 300, 900) for x in ("en", "fr")] + [b"a" * 9]
+    texts += [texts[-2][: len(texts[-2]) // 2] + texts[-4][:2000], texts[9][:-1]]
+    rank = feature_digest.rarity(feature_digest.level_counts(texts))
+    made, want = feature_digest.digests(texts, rank), [brute_digest(t, rank) for t in texts]
+    for (filters, last), (chain, n) in zip(made, want, strict=True):
+        assert np.unpackbits(filters, axis=1).tolist() == chain and last == (n - (len(chain) - 1) * feature_digest.FILL if n else 0)
+    assert max(len(c) for c, _ in want) > 2
+    for i in range(len(texts)):
+        got = feature_digest.likenesses(made, made[i:] + made[:i])
+        assert got == pytest.approx([brute_likeness(x, y) for x, y in zip(want, want[i:] + want[:i], strict=True)], abs=1e-9)
+
+
+def test_rows_of_one_id_or_none_are_dealt_to_several_tasks(spark):
+    docs = spark.createDataFrame([(7, prose("en", 30, i)) for i in range(200)] + [(None, prose("fr", 30, i)) for i in range(200)] + [(9, "last")], "doc_id long, text string")
+    first = docs.filter("doc_id = 7").select(F.min(F.struct(F.xxhash64("text"), "text"))).first()[0]["text"]
+    got = feature_digest.fingerprints(docs, 4)
+    assert got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect().count(0) == 0
+    got = got.collect()
+    assert len(got) == 401 and sum(r["doc_id"] is None for r in got) == 200
+    last = next(r for r in got if r["doc_id"] == 9)
+    assert last["edited_sha256"] == hashlib.sha256(feature_digest.edited("last", first).encode()).hexdigest()
+
+
 def test_fingerprint_rows(spark):
     texts = {i: prose(sorted(WORDS)[i % 4], 1 + 40 * (i % 9), i) for i in range(50)} | {60: None, 61: "", 62: "é" * 41, 63: prose("en", 9000, 3), 64: prose("en", 9000, 3)}
     rows = [*texts.items(), (None, "lost")]

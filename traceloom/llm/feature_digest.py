@@ -10,15 +10,18 @@ give, on a scale to 1; a chain's likeness is the mean, over the shorter chain, o
 Defined results: null texts count as empty; an empty text has an empty fingerprint; likeness is 1 between equal
 fingerprints and 0 between an empty and another. A text shorter than a window is one feature, one with fewer
 than 2 * POINTS windows needs points from half of them. Where no window of a text gets there (constant, periodic
-and some other texts), those with the most points are its features, so only an empty text has none. The next document is the next row by (doc_id, text); a row
-without doc_id has no next one (it counts as empty) and is nobody's. A lone document is its own next. Extra
-columns are not read.
+and some other texts), those with the most points are its features, so only an empty text has none. The next document is
+the next row by (doc_id, hash of the text), so rows of one doc_id can be dealt to several tasks; a row
+without doc_id has no next one (it counts as empty) and is nobody's. A lone document is its own next. A text of over
+CHUNK bytes is read in pieces that overlap by what a window's points depend on, with the same features as in one. An empty
+table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +67,17 @@ def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(padded), np.uint8), np.cumsum(lens) - lens, np.maximum(lens - WINDOW + 1, 0)
 
 
+def _pieces(n: int, margin: int):
+    """(first window, end, first byte read, end) of stretches of the windows of a text of n bytes; `margin` windows more are read on both sides."""
+    for a in range(0, n - WINDOW + 1, CHUNK):
+        b = min(n - WINDOW + 1, a + CHUNK)
+        yield a, b, max(0, a - margin), min(n, b + margin + WINDOW - 1)
+
+
 def level_counts(texts: list[bytes]) -> np.ndarray:
+    if len(texts) == 1 and len(texts[0]) > CHUNK:
+        buf = np.frombuffer(texts[0], np.uint8)
+        return sum(np.bincount(entropy_levels(buf[low:high]), minlength=LEVELS + 1) for _, _, low, high in _pieces(len(buf), 0))
     buf, starts, windows = _buffer(texts)
     levels = entropy_levels(buf)
     inside = np.zeros(len(levels) + 1, np.int64)
@@ -117,8 +130,38 @@ def _hashes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _unique(h: np.ndarray) -> np.ndarray:
+    """The first of equal hashes each, in order."""
+    return h[np.sort(np.unique(h, return_index=True)[1])]
+
+
+def _long_hashes(text: bytes, rank: np.ndarray) -> np.ndarray:
+    """The hashes of a long text's features in order, piece by piece."""
+    buf = np.frombuffer(text, np.uint8)
+    found, most = [], 0
+    for a, b, low, high in _pieces(len(buf), WINDOW - 1):
+        levels = entropy_levels(buf[low:high])
+        n = len(levels)
+        bits = max(20, n.bit_length())
+        key = np.full(n + WINDOW, np.iinfo(np.int64).max, np.int64)
+        key[:n] = rank[levels] << bits | np.arange(n)
+        span = 1
+        while span < WINDOW:
+            np.minimum(key[:-span], key[span:], out=key[:-span])
+            span *= 2
+        points = np.bincount(key[:n] & ((1 << bits) - 1), minlength=n)[a - low : b - low]
+        need = min(POINTS, max(most, int(points.max())))
+        if need > most:
+            found, most = [], need
+        found.append(_unique(_hashes(buf, a + np.flatnonzero(points >= most))))
+    return _unique(np.concatenate(found))
+
+
 def digests(texts: list[bytes], rank: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """(filters as rows of bytes, features in the last one) of each text."""
+    if len(texts) == 1 and len(texts[0]) > CHUNK:
+        h = _long_hashes(texts[0], rank)
+        return _chains(h, np.zeros(len(h), np.int64), 1)
     buf, starts, windows = _buffer(texts)
     at, owner = _select(buf, starts, windows, rank, always=True)
     h = _hashes(buf, at)
@@ -127,8 +170,11 @@ def digests(texts: list[bytes], rank: np.ndarray) -> list[tuple[np.ndarray, int]
     first = np.ones(len(h), bool)
     first[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     keep = np.sort(order[first])
-    h, owner = h[keep], owner[keep]
-    counts = np.bincount(owner, minlength=len(texts))
+    return _chains(h[keep], owner[keep], len(texts))
+
+
+def _chains(h: np.ndarray, owner: np.ndarray, texts: int) -> list[tuple[np.ndarray, int]]:
+    counts = np.bincount(owner, minlength=texts)
     nth = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
     chain = -(-counts // FILL)
     base = np.cumsum(chain) - chain
@@ -169,8 +215,13 @@ def likeness(x: tuple[np.ndarray, int], y: tuple[np.ndarray, int]) -> float:
     if not len(x[0]) or not len(y[0]):
         return 0.0
     full = lambda d: np.append(np.full(len(d[0]) - 1, FILL), d[1])
-    s = np.stack([_scores(x[0][i], full(x)[i], y[0], full(y)) for i in range(len(x[0]))])
-    ways = [(s.max(1), full(x))] * (len(x[0]) <= len(y[0])) + [(s.max(0), full(y))] * (len(y[0]) <= len(x[0]))
+    nx, ny = full(x), full(y)
+    best_x, best_y = np.zeros(len(nx)), np.zeros(len(ny))
+    for i in range(len(nx)):  # a row at a time: chains of long texts are long
+        s = _scores(x[0][i], nx[i], y[0], ny)
+        best_x[i] = s.max()
+        np.maximum(best_y, s, out=best_y)
+    ways = [(best_x, nx)] * (len(nx) <= len(ny)) + [(best_y, ny)] * (len(ny) <= len(nx))
     return float(np.mean([np.average(best, weights=n) for best, n in ways]))
 
 
@@ -256,18 +307,18 @@ def _judge(pairs: list[tuple], rank: np.ndarray) -> pd.DataFrame:
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """ROWS for docs(doc_id, text)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     rank = corpus_rarity(texts)
     n = parts or partitions(spark)
-    heads = np.array(range_bounds(texts, "doc_id", 3 * n)[0], np.int64)
+    heads = [tuple(h) for h in range_bounds(texts.filter("doc_id is not null").select(F.struct("doc_id", "mark").alias("place")), "place", 3 * n)[0]]
 
     @F.pandas_udf("array<int>")
-    def places(doc_id: pd.Series) -> pd.Series:
-        """The range of a row, and also the one before it if the row starts its own."""
+    def places(doc_id: pd.Series, mark: pd.Series) -> pd.Series:
+        """The range of a row, and also the one before it if the row starts its own; rows without doc_id go anywhere."""
         out = []
-        for null, key in zip(doc_id.isna(), doc_id.fillna(0).astype("int64"), strict=True):
-            part = int(np.searchsorted(heads, key, "right")) - 1
-            out.append([-1 - int(key) % 64] if null else [part, len(heads) + (part - 1) % len(heads)] if heads[part] == key else [part])
+        for null, key, m in zip(doc_id.isna(), doc_id.fillna(0).astype("int64"), mark, strict=True):
+            part = bisect_right(heads, (key, m)) - 1
+            out.append([-1 - m % (3 * n)] if null else [part, len(heads) + (part - 1) % len(heads)] if heads[part] == (key, m) else [part])
         return pd.Series(out)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,11 +342,9 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
         if held:
             yield _judge(held, rank)
 
-    if not len(heads):
-        dealt = texts.withColumn("place", F.lit(-1))
-    else:
-        dealt = texts.withColumn("place", F.explode(places("doc_id")))
-    ghost = F.col("place") >= len(heads)
-    dealt = dealt.select(F.when(ghost, F.col("place") - len(heads)).otherwise(F.col("place")).alias("part"), ghost.alias("ghost"), "doc_id", "text")
-    ordered = dealt.repartition(n, "part").sortWithinPartitions("part", "ghost", "doc_id", "text")
+    dealt = texts.withColumn("place", F.explode(places("doc_id", "mark")))
+    ghost = F.col("place") >= len(heads) if heads else F.lit(False)
+    dealt = dealt.select(F.when(ghost, F.col("place") - len(heads)).otherwise(F.col("place")).alias("part"), ghost.alias("ghost"), "doc_id", "mark", "text")
+    # The first row of a range is read once more behind the range before it; of rows that repeat it, one is enough.
+    ordered = dealt.repartition(n, "part").sortWithinPartitions("part", "ghost", "doc_id", "mark", "text")
     return ordered.mapInPandas(walk, ROWS)
