@@ -176,21 +176,30 @@ def test_suffix_arrays_and_prefixes():
             assert before[y] == x and shared[y] == k
 
 
-def test_segments_cover_each_window_once_and_follow_content():
+@pytest.mark.parametrize("most", [1 << 20, 170, 61])
+def test_segments_cover_each_window_once_and_follow_content(most):
     r = random.Random(4)
     passage = r.randbytes(300)
     texts = [r.randbytes(700), r.randbytes(150) + passage + r.randbytes(99), passage, b"a" * 450, b"", r.randbytes(199), r.randbytes(200)]
-    who, first, runs, anchor, digest = segments(texts)
+    who, first, runs, repeats, anchor, digest = segments(texts, most)
     windows = {}
-    for w, f, n, a in zip(who, first, runs, anchor, strict=True):
-        for s in range(f, f + n):
+    for w, f, n, k, a in zip(who, first, runs, repeats, anchor, strict=True):
+        for s in range(f, f + n * k):
             assert (w, s) not in windows
             windows[w, s] = a
     assert len(windows) == sum(max(0, len(t) - SPAN + 1) for t in texts)
     by = {}
     for (w, s), a in windows.items():
         assert by.setdefault(texts[w][s : s + SPAN], a) == a
-    assert len(set(digest)) < len(digest) and len({windows[3, s] for s in range(251)}) == 1
+    if most > 1000:
+        assert repeats.max() > 1 and (repeats * runs).sum() == len(windows)
+    assert len({windows[3, s] for s in range(251)}) == 1
+
+
+def test_periodic_text_is_few_segments():
+    for text in (b"a" * 2_000_000, b"abc" * 400_000, b"all work and no play " * 50_000):
+        who, first, runs, repeats, anchor, digest = segments([text])
+        assert len(who) < 10 and (runs * repeats).sum() == len(text) - SPAN + 1
 
 
 def brute_removal(rows):
@@ -214,7 +223,7 @@ def test_removal_equals_brute_force(spark, crowd, monkeypatch):
     text = lambda n: "".join(r.choice("abcdé ßf\n\0") for _ in range(n))
     passages = [text(n) for n in (150, 199, 200, 201, 420)]
     rows = [(i, text(r.randrange(120)) + r.choice(passages) + text(r.randrange(120)) + (r.choice(passages) if i % 3 else "")) for i in range(60)]
-    rows += [(100, "ab" * 400), (101, "x" * 1000), (102, "x" * 199), (103, None), (104, ""), (105, passages[4]), (105, passages[4]), (None, passages[3]), (None, text(700)), (106, text(300) * 2)]
+    rows += [(100, "ab" * 400), (101, "x" * 1000), (102, "x" * 199), (103, None), (104, ""), (105, passages[4]), (105, passages[4]), (107, "abcdefg" * 99 + "x" + "abcdefg" * 60), (108, "é" * 150), (109, "z" * 200 + "y" * 200), (None, passages[3]), (None, text(700)), (106, text(300) * 2)]
     docs = spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, mark string").repartition(4)
     got = sorted(map(tuple, suffix_dedup.digest_rows(suffix_dedup.remove_repeats(docs)).collect()), key=str)
     assert got == brute_removal(rows)
@@ -231,8 +240,7 @@ def test_narrowing_loses_no_repeated_window():
     core = bytes(r.choice(b"abcdefgh") for _ in range(260))
     pieces = [bytes(r.choice(b"abc") for _ in range(r.randrange(60))) + core[r.randrange(30) :] for _ in range(8)]
     pieces = [p + bytes(r.choice(b"abc") for _ in range(60)) for p in pieces]
-    _, first, runs, anchor, _ = segments(pieces)
-    who = segments(pieces)[0]
+    who, first, runs, _, anchor, _ = segments(pieces)
     groups = {}
     for w, f, n, a in zip(who, first, runs, anchor, strict=True):
         groups.setdefault(int(np.uint64(a).view(np.int64)), {})[pieces[w][f : f + n + SPAN - 1]] = None

@@ -6,12 +6,13 @@ windows are repeated if the segment occurs twice. The different segments of an a
 share with another around the anchor, are laid side by side in
 blocks of whole anchors of about BLOCK bytes; each block is sorted by induced sorting, and its permuted common
 prefixes say which windows also start elsewhere. An anchor of over CROWD different segments, which would not fit
-a block, is settled by its windows' 128-bit digests, counted like words. Where segments repeat is then joined
-back to the documents, whose covered bytes go.
+a block, is settled by its windows, counted like words: by 128-bit digests, and where these repeat by the bytes
+themselves. Where segments repeat is then joined back to the documents, whose covered bytes go.
 
 Defined results: null texts count as empty; texts under SPAN bytes lose nothing and are no partner; rows that
 repeat a text are repeats of each other. Runs of removed bytes that touch are one. Cutting bytes may split a
-character; the digest is of the bytes left. Extra columns are not read.
+character; the digest is of the bytes left. A very long text is cut in stretches of 1 MB that overlap by a window, and
+equal segments in a row, as periodic text has, are one row. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -61,8 +62,8 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         docs, marks, texts = pdf["doc_id"].astype("Int64"), pdf["mark"].to_numpy(), pdf["text"].tolist()
         for a, b in slices(texts, 1_000_000):
-            who, first, runs, anchor, digest = segments([t.encode() for t in texts[a:b]])
-            yield pd.DataFrame({"doc_id": docs.iloc[a + who].array, "mark": marks[a + who], "first": first.astype(np.int32), "windows": runs.astype(np.int32), "anchor": anchor.view(np.int64), "digest": digest})
+            who, first, runs, repeats, anchor, digest = segments([t.encode() for t in texts[a:b]])
+            yield pd.DataFrame({"doc_id": docs.iloc[a + who].array, "mark": marks[a + who], "first": first.astype(np.int32), "windows": runs.astype(np.int32), "repeats": repeats.astype(np.int32), "anchor": anchor.view(np.int64), "digest": digest})
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,12 +171,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "repeats"), partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    cut = texts.filter(F.octet_length("text") >= SPAN).mapInPandas(_cut, "doc_id long, mark long, first int, windows int, anchor long, digest binary")
+    cut = texts.filter(F.octet_length("text") >= SPAN).mapInPandas(_cut, "doc_id long, mark long, first int, windows int, repeats int, anchor long, digest binary")
     cut = scratch.save(cut, "cut")
-    again = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    again = cut.groupBy("anchor").agg(F.sum("repeats").alias("m")).filter("m > 1").drop("m")
     places = scratch.save(keyed_join(cut, again, "anchor"), "places")
     scratch.drop("cut")
-    kinds = places.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark", "first", "windows")).alias("at"))
+    kinds = places.groupBy("anchor", "digest").agg(F.sum("repeats").alias("n"), F.min(F.struct("doc_id", "mark", "first", "windows")).alias("at"))
     kinds = scratch.save(kinds, "kinds")
     whole = kinds.filter("n > 1").select("digest", F.lit(0).alias("low"), F.col("at.windows").alias("high"))
 
@@ -192,13 +193,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     runs = sorted_.mapInPandas(_sort, "digest binary, low int, high int")
     counted = pieces.filter(F.col("kinds") > CROWD).select("digest", "n", "windows", "bytes").mapInPandas(_windows, "digest binary, n long, low int, window binary")
     common = counted.groupBy("window").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    single = keyed_join(counted.filter("n = 1"), common, "window").select("digest", "low", (F.col("low") + 1).alias("high"))
+    # Digests only choose; what they choose is compared byte by byte.
+    repeated = keyed_join(keyed_join(counted, common, "window"), pieces.select("digest", "bytes"), "digest").select("digest", "n", "low", F.substring("bytes", F.col("low") + 1, F.lit(SPAN)).alias("bytes"))
+    equal = repeated.groupBy("bytes").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    single = keyed_join(repeated.filter("n = 1"), equal, "bytes").select("digest", "low", (F.col("low") + 1).alias("high"))
     found = scratch.save(whole.unionByName(runs).unionByName(single), "found")
     scratch.drop("kinds")
     scratch.drop("pieces")
 
-    ranges = keyed_join(places.select("doc_id", "mark", "first", "digest"), found, "digest")
-    ranges = ranges.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "mark", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high") - 1 + SPAN).alias("high"))
+    ranges = keyed_join(places.select("doc_id", "mark", "first", "digest", ((F.col("repeats") - 1) * F.col("windows")).alias("more")), found, "digest")
+    # A segment in a row with equal ones is found as a whole, and so are they.
+    ranges = ranges.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "mark", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("more") + F.col("high") - 1 + SPAN).alias("high"))
     # As long as a document's text at most.
     spans = ranges.groupBy("id", "mark").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     return packed.join(spans, ["id", "mark"], "left").select("doc_id", "packed", "spans").mapInPandas(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

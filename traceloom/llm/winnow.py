@@ -1,7 +1,8 @@
 """Anchors of a byte string: every SPAN-byte window is named by the least hash of the GRAM-byte strings in it.
 
 Equal windows have the same anchor at the same place, so only windows of equal anchors can be equal. Neighbouring
-windows mostly share their anchor; such a run of windows with the bytes they cover is a segment.
+windows mostly share their anchor; such a run of windows with the bytes they cover is a segment. In periodic text equal
+segments follow each other; they are told as one with its number.
 """
 
 from __future__ import annotations
@@ -36,29 +37,63 @@ def gram_hashes(buf: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(text, first window, windows, anchor hash, digest of the bytes covered) of each segment of the texts."""
-    lens = np.array([len(t) for t in texts], np.int64)
+def _sliding_least(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the least of each `width` neighbouring hashes, the first place that has it)."""
+    least, place, span = h, np.arange(len(h)), 1
+    while span < width:
+        step = min(span, width - span)
+        later = least[step:] < least[:-step]
+        least, place = np.where(later, least[step:], least[:-step]), np.where(later, place[step:], place[:-step])
+        span += step
+    return least, place
+
+
+def _stretches(texts: list[bytes], most: int):
+    """(text, first window, bytes) of the texts, a long one in stretches of `most` windows."""
+    for k, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - SPAN + 1), most):
+            yield k, at, t[at : at + most + SPAN - 1]
+
+
+def segments(texts: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(text, first window, windows, repeats, anchor hash, digest of the bytes covered by one) of each segment of the texts."""
+    made: list[tuple] = []
+    held: list[tuple] = []
+    size = 0
+    for part in _stretches(texts, most):
+        if held and size + len(part[2]) > 2 * most:
+            made.append(_segments(held))
+            held, size = [], 0
+        held.append(part)
+        size += len(part[2])
+    made.append(_segments(held))
+    return *(np.concatenate([m[i] for m in made]) for i in range(5)), [d for m in made for d in m[5]]
+
+
+def _segments(parts: list[tuple[int, int, bytes]]) -> tuple:
+    lens = np.array([len(t) for _, _, t in parts], np.int64)
     starts = np.cumsum(lens) - lens
-    buf = np.frombuffer(b"".join(texts), np.uint8)
+    raw = b"".join(t for _, _, t in parts)
     counts = np.maximum(lens - SPAN + 1, 0)
     if not counts.sum():
-        return *(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64), []
-    h = gram_hashes(buf)
-    bits = np.uint64(max(1, int(len(h)).bit_length()))
-    key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the first
-    width, span = SPAN - GRAM + 1, 1
-    while span * 2 <= width:
-        key = np.minimum(key[:-span], key[span:])
-        span *= 2
-    if span < width:
-        key = np.minimum(key[: span - width], key[width - span :])
-    owner = np.repeat(np.arange(len(texts)), counts)
+        return *(np.zeros(0, np.int64),) * 4, np.zeros(0, np.uint64), []
+    least, place = _sliding_least(gram_hashes(np.frombuffer(raw, np.uint8)), SPAN - GRAM + 1)
+    owner = np.repeat(np.arange(len(parts)), counts)
     window = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
-    anchor = (key[window] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    anchor = place[window]
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
     runs = np.diff(np.append(first, len(owner)))
-    at, who = window[first], owner[first]
-    raw = buf.tobytes()
+    at, who, name = window[first], owner[first], least[window[first]]
+    # A segment equal to the one before it: of the same text, anchor and length, and then byte by byte.
+    same = np.flatnonzero((who[1:] == who[:-1]) & (name[1:] == name[:-1]) & (runs[1:] == runs[:-1])) + 1
+    alike = np.zeros(len(first), bool)
+    if len(same):
+        view = memoryview(raw)
+        alike[same] = [view[b : b + n] == view[a : a + n] for a, b, n in zip(at[same - 1].tolist(), at[same].tolist(), (runs[same] + SPAN - 1).tolist(), strict=True)]
+    lead = np.flatnonzero(~alike)
+    repeats = np.diff(np.append(lead, len(first)))
+    at, who, name, runs = at[lead], who[lead], name[lead], runs[lead]
     digest = xxhash.xxh3_128_digest
-    return who, at - starts[who], runs, h[anchor[first]], [digest(raw[a:b]) for a, b in zip(at.tolist(), (at + runs + SPAN - 1).tolist(), strict=True)]
+    digests = [digest(raw[a:b]) for a, b in zip(at.tolist(), (at + runs + SPAN - 1).tolist(), strict=True)]
+    text, offset = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
+    return text[who], at - starts[who] + offset[who], runs, repeats, name, digests
