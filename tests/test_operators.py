@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from traceloom.functions import formats, versions
-from traceloom.operators import clock, lifecycle, lookup, memo_map, spans
+from traceloom.operators import clock, inspection, lifecycle, lookup, memo_map, spans
 from traceloom.sources import traces
 from traceloom.sources.store import RecordStore
 
@@ -182,6 +182,133 @@ def test_runs_retention_and_collection(spark, tmp_path):
     assert store.table("records").count() == 0 and store.abandon_stale() == 1
 
 
+def test_a_rewrite_that_dies_leaves_one_store(spark, tmp_path, monkeypatch):
+    from traceloom.sources import store as module
+
+    store = RecordStore(spark, f"file://{tmp_path}/store")
+    store.put_rows("runs", [("r1", "e", datetime(2024, 1, 1), None, "ok"), ("r2", "f", datetime(2024, 1, 2), None, "ok")])
+    store.put_rows("run_steps", [("r1", 1, "a", "k1", "1", "created"), ("r2", 1, "b", "k2", "2", "created")])
+    rec = lambda comp, rid, blob: (comp, rid, "i", "i", "h", None, None, blob, "", {}, {}, 1.0, 1.0, 0.0, datetime(2024, 1, 1))
+    store.put_rows("records", [rec("k1", "1", "x"), rec("k2", "2", "y"), rec("k3", "3", "z")])
+    store.put_rows("blobs", [("x", "{}", 2), ("y", "{}", 2), ("z", "{}", 2)])
+    monkeypatch.setattr(module, "delete_path", lambda *_: (_ for _ in ()).throw(OSError("died")))
+    with pytest.raises(OSError):
+        store.collect()
+    monkeypatch.undo()
+    assert store.table("records").count() == 2 and store.table("runs").count() == 2 and len(store.files.names("batches")) == 5
+    monkeypatch.setattr(module, "STALE_SECONDS", -1)
+    assert store.abandon_stale() == 4 and store.table("records").count() == 2
+    monkeypatch.undo()
+    written = store._write
+    monkeypatch.setattr(store, "_write", lambda *a, **b: (written(*a, **b), 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        store.remove_run("r1")
+    monkeypatch.undo()
+    assert store.table("runs").count() == 2  # died before its manifest: nothing has changed
+    assert store.remove_run("r1") and not store.remove_run("r1") and not store.remove_run("none") and store.table("run_steps").count() == 1
+    assert store.remove_entry("f") and store.collect().count() == 2 and store.newest_run() is None
+    assert store.files.names("leases") == [] and len([n for n in store.files.names("manifests") if n.endswith("json")]) <= 2
+
+
+def test_publishers_share_and_a_rewrite_is_alone(spark, tmp_path, monkeypatch):
+    import threading
+    import time
+
+    from traceloom.sources import store as module
+
+    store = RecordStore(spark, f"file://{tmp_path}/store")
+    with store.shared(), store.shared():
+        with pytest.raises(TimeoutError), store.exclusive(wait=0.1):
+            pass
+    order = []
+
+    def rewrite():
+        with store.exclusive():
+            order.append("rewrite")
+
+    with store.shared():
+        waiting = threading.Thread(target=rewrite)
+        waiting.start()
+        while len(store.files.names("leases")) < 2:
+            time.sleep(0.01)
+        with pytest.raises(TimeoutError), store.shared(wait=0.1):  # who comes after a rewrite waits for it
+            pass
+        order.append("shared")
+    waiting.join()
+    assert order == ["shared", "rewrite"]
+    monkeypatch.setattr(module, "STALE_SECONDS", 0.5)
+    store.files.write("leases/exclusive-00000000000000000001-dead", "")
+    time.sleep(1.1)
+    with store.exclusive(wait=0.2):  # a holder that died is no holder; one that works renews its lease
+        own = store.files.names("leases")
+        time.sleep(1.2)
+        assert len(own) == 1 and store.files.age(f"leases/{own[0]}") < 1.2
+        with pytest.raises(TimeoutError), store.shared(wait=0.1):
+            pass
+    threads = [threading.Thread(target=store.put_rows, args=("overlay_entries", [(f"r{i}", "a", "b", "c")])) for i in range(4)]
+    monkeypatch.undo()
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert store.table("overlay_entries").count() == 4
+
+
+def test_sums_and_flags_of_a_forest_equal_those_of_its_pairs(spark):
+    r = random.Random(8)
+    up = {i: r.randrange(max(0, i - 3), i) for i in range(1, 60) if i % 13}
+    edges = spark.createDataFrame(list(up.items()), "child int, parent int")
+    own = spark.createDataFrame([(r.randrange(60), r.choice("ab"), r.randrange(9)) for _ in range(80)], "node int, key string, amount int")
+    pairs = spans.closure(edges)
+    alone = own.join(pairs.select(F.col("anc").alias("node")).distinct(), "node", "left_anti").groupBy(F.col("node").alias("anc"), "key").agg(F.sum("amount").alias("amount"))
+    want = {tuple(x) for x in spans.roll_up(own, pairs).select("anc", "key", "amount").union(alone).collect()}
+    assert {tuple(x) for x in spans.roll_up_tree(own, edges).select("anc", "key", "amount").collect()} == want
+    flagged = own.filter("amount = 1").select("node")
+    assert {x["anc"] for x in spans.flagged_tree(flagged, edges).collect()} == {x["anc"] for x in spans.above_flagged(flagged, pairs).collect()} | {x["node"] for x in flagged.collect()}
+    labels = spark.createDataFrame([(i, f"l{i}") for i in range(60)], "node int, label string")
+    assert spans.refreshed_labels(flagged, edges, labels).count() == spans.flagged_tree(flagged, edges).count()
+    assert spans.roll_up_tree(own.limit(0), edges).count() == 0 and spans.roll_up_tree(own, edges.limit(0)).count() == own.select("node", "key").distinct().count()
+
+
+def test_reach_over_cycles_and_numbers_without_one_task(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 8), (4, None)], "src int, dst int")
+    roots = spark.createDataFrame([(1,), (7,)], "node int")
+    assert {r["node"] for r in lifecycle.reachable(roots, edges).collect()} == {1, 2, 3, 4, 7}
+    rows = spark.createDataFrame([(k, [i // 7, i % 7]) for k in ("a", "b", None) for i in range(40)], "k string, path array<int>").repartition(5)
+    got = spans.in_order(rows, "k", "path", "n").collect()
+    assert len(got) == 120 and all(r["n"] == r["path"][0] * 7 + r["path"][1] + 1 for r in got)
+
+
+def test_questions_about_runs(spark):
+    events = traces.events_frame(spark, [*EVENTS, {"e": "trace", "ts": 1.0, "parent_seq": 2, "msg": "x", "edge": True, "who": "me", "n": 3}], "r")
+    assert inspection.edge_notes(events, "a").count() == 1 and inspection.edge_notes(events, "root").count() == 0
+    assert inspection.child_events(events, 1, "wait").count() == 1 and inspection.child_events(events, 2, "trace").count() == 2
+    named = {r["name"]: (r["seq"], r["end_ts"], r["cached"]) for r in inspection.first_named(events).collect()}
+    assert named == {"root": (1, None, False), "a": (2, 1.0, False)}
+    assert inspection.children(spans.reduce_spans(events), 1).first()["seq"] == 2
+    assert inspection.fan_out(events).first()["spawned"] == 1 and inspection.executions(events).first()["executions"] == 2
+    assert inspection.first_time(events, "run_id").first()["began"] == 0.1
+    from traceloom.streaming.live import rendered
+
+    assert [r["line"] for r in rendered(events).orderBy("ord").collect()][-1] == "\x1b[2mx (who=me n=3)\x1b[0m"
+    one = spark.range(1).select(formats.styled_trace(F.lit("m"), F.lit("ok"), F.array(F.lit(1), F.lit(2)), F.lit(None).cast("map<string,double>"), F.lit(None).cast("map<string,string>"), F.lit("warn")).alias("t")).first()
+    assert one["t"] == "\x1b[33mm (1/2) [ok]\x1b[0m"
+
+
+def test_foreign_names_of_trace_fields(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text('{"e":"end","seq":1,"their_id":"k1","w":true}\n{"e":"end","seq":2,"comp_id":"k2","their_id":"no"}\nbad\n')
+    rows = traces.read_trace(spark, f"file://{tmp_path}/t.jsonl", {"comp_id": "their_id", "cached": "w"}).orderBy("ord").collect()
+    assert [(r["comp_id"], r["cached"]) for r in rows] == [("k1", True), ("k2", False)]
+
+
+def test_memo_map_with_a_column_for_a_body(spark):
+    args = spark.createDataFrame([(1,), (2,), (2,)], "x int")
+    old = spark.createDataFrame([("1", "a", "one", None, 1)], "comp_id string, record_id string, result string, error string, ts_created int")
+    out, fresh = memo_map.memo_map(args, F.col("x").cast("string"), old, F.col("x") * 10)
+    assert sorted((r["x"], r["result"], r["origin"]) for r in out.collect()) == [(1, "one", "recalled"), (2, "20", "created"), (2, "20", "created")]
+    assert fresh.count() == 1 and "Python" not in out._jdf.queryExecution().toString()
+
+
 def test_memo_map_computes_misses_once_and_keeps_errors(spark):
     args = spark.createDataFrame([(1,), (2,), (2,), (3,), (4,)], "x int")
     old = spark.createDataFrame([("1", "a", "one", None, 1), ("1", "b", "uno", None, 2), ("1", "c", None, "late error", 3)], "comp_id string, record_id string, result string, error string, ts_created int")

@@ -1,6 +1,10 @@
 """Command line: run a step, list runs, show traces and records, collect garbage.
 
-    python -m traceloom.cli run script.py [entry] | list ROOT | show TRACE | output ROOT RECORD | gc ROOT [--before TIME]
+    python -m traceloom.cli run script.py [entry] [--store ROOT] [--force] | list ROOT | show TRACE | show --store ROOT [--run RUN]
+    | output ROOT RECORD_OR_VALUE | remove ROOT RUN | gc ROOT [--before TIME]
+
+A run with a store recalls what earlier ones made and adds what it makes; --force removes the entry's runs and what only they
+hold before. `show --store` shows a run's events, the newest run's if none is named.
 """
 
 from __future__ import annotations
@@ -38,8 +42,16 @@ def main(argv: list[str] | None = None) -> int:
     one.add_argument("script")
     one.add_argument("entry", nargs="?")
     one.add_argument("--trace")
+    one.add_argument("--store")
+    one.add_argument("--force", action="store_true")
     sub.add_parser("list").add_argument("root")
-    sub.add_parser("show").add_argument("trace")
+    show = sub.add_parser("show")
+    show.add_argument("trace", nargs="?")
+    show.add_argument("--store")
+    show.add_argument("--run")
+    gone = sub.add_parser("remove")
+    gone.add_argument("root")
+    gone.add_argument("run")
     out = sub.add_parser("output")
     out.add_argument("root")
     out.add_argument("record")
@@ -53,7 +65,17 @@ def main(argv: list[str] | None = None) -> int:
         from traceloom.sources.traces import LineSink
 
         sink = LineSink(args.trace) if args.trace else None
-        print(Engine().run(load_entry(args.script, args.entry)(), sink=sink))
+        call = load_entry(args.script, args.entry)()
+        if not args.store:
+            print(Engine().run(call, sink=sink))
+            return 0
+        from traceloom.plans.history import StoreRecords, run_and_publish
+        from traceloom.sources.store import RecordStore
+
+        store = RecordStore(session(), args.store)
+        if args.force and store.remove_entry(call.step.identity):
+            store.collect()
+        print(run_and_publish(store, Engine(store.spark, StoreRecords(store)), call, sink=sink))
         return 0
     spark = session()
     from traceloom.sources.store import RecordStore
@@ -63,7 +85,14 @@ def main(argv: list[str] | None = None) -> int:
         from traceloom.sources.traces import read_trace
         from traceloom.streaming.live import rendered
 
-        events = read_trace(spark, args.trace)
+        if args.store:
+            store = RecordStore(spark, args.store)
+            run = args.run or store.newest_run()
+            if run is None:
+                raise SystemExit(f"{args.store} has no run")
+            events = store.events(run)
+        else:
+            events = read_trace(spark, args.trace)
         reduce_spans(events).orderBy("run_id", "seq").select("run_id", "seq", "parent_seq", "name", "status", "start_ts", "end_ts", "error").show(1000, False)
         for row in rendered(events).orderBy("run_id", "ord").toLocalIterator():
             print(row["line"])
@@ -71,9 +100,15 @@ def main(argv: list[str] | None = None) -> int:
         from traceloom.functions import formats
 
         age = formats.age((F.unix_micros(F.current_timestamp()) - F.unix_micros("started_at")) / 1e6)
-        RecordStore(spark, args.root).runs().select("run_id", "entry", age.alias("age"), "steps", "is_latest").show(1000, False)
+        RecordStore(spark, args.root).runs().orderBy("entry", F.desc("started_at")).select("run_id", "entry", age.alias("age"), "steps", "is_latest").show(1000, False)
     elif args.command == "output":
-        RecordStore(spark, args.root).record(args.record).show(1, False, True)
+        shown = 0
+        for row in RecordStore(spark, args.root).sections(args.record).toLocalIterator():
+            shown += 1
+            print(f"{row['section']} {row['ord']}: {row['text']}")
+        return 0 if shown else 1
+    elif args.command == "remove":
+        return 0 if RecordStore(spark, args.root).remove_run(args.run) else 1
     else:
         store = RecordStore(spark, args.root)
         if args.before:

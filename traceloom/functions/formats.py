@@ -97,3 +97,19 @@ def page_title(html: Column) -> Column:
 
 def page_links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1))
+
+
+def page_price(html: Column) -> Column:
+    """The figure after `price=`, with or without a dollar sign; `0` without one."""
+    found = F.regexp_extract(html, "price=\\$?([0-9.]+)", 1)
+    return F.when(found == "", "0").otherwise(found)
+
+
+def page_stock(html: Column) -> Column:
+    found = F.regexp_extract(html, "stock=([0-9]+)", 1)
+    return F.when(found == "", "0").otherwise(found)
+
+
+def styled_trace(msg: Column, state: Column, progress: Column, costs: Column, attributes: Column, level: Column) -> Column:
+    """A trace event as text without a bar, in its level's colour."""
+    return coloured(trace_line(msg, state, progress, costs, attributes, bar=False), level_colour(level))

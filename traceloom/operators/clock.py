@@ -2,32 +2,60 @@
 
 A span starts at its parent's clock; recalling puts its own clock forward by the record's durations; a parent that
 resumes takes the later of its clock and the awaited span's. So awaited in turn times add up, and together the
-longest counts. It depends on the order of events, hence an ordered fold a run; runs are folded side by side.
+longest counts. It depends on the order of events, hence an ordered fold over each run; a run's events stream through
+one task, which holds a number a span of the run, and runs are folded side by side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+COLUMNS = ("run_id", "e", "seq", "parent_seq", "on_seq", "cached", "took")
+
+
+class Clocks:
+    """The clocks of one run's spans."""
+
+    def __init__(self, run_id: str):
+        self.run_id, self.now, self.began = run_id, {}, {}
+
+    def take(self, e: str, seq: int, parent: int, on: int, cached: bool, took: float) -> None:
+        """Numbers are -1 where an event has none."""
+        if e == "spawn":
+            self.began[seq] = self.now[seq] = self.now.get(parent, 0.0)
+        elif seq in self.now and e == "end" and cached:
+            self.now[seq] = self.began[seq] + took
+        elif seq in self.now and e == "resume" and on in self.now:
+            self.now[seq] = max(self.now[seq], self.now[on])
+
+    def rows(self) -> list[tuple]:
+        return [(self.run_id, s, max(0.0, at - self.began[s])) for s, at in self.now.items()]
 
 
-def fold_clock(events: pd.DataFrame) -> pd.DataFrame:
-    """run_id, seq, cached_duration from one run's events, with on_seq on resumes."""
-    clock: dict[int, float] = {}
-    start: dict[int, float] = {}
-    clean = events.astype(object).where(events.notna(), None)
-    for e in clean.sort_values("ord").to_dict("records"):
-        seq = e["seq"]
-        if e["e"] == "spawn":
-            start[seq] = clock[seq] = clock.get(e["parent_seq"], 0.0)
-        elif e["e"] == "end" and e["cached"] and seq in clock:
-            clock[seq] = start[seq] + (e["duration"] or 0.0) + (e["cached_duration"] or 0.0)
-        elif e["e"] == "resume" and seq in clock and e["on_seq"] in clock:
-            clock[seq] = max(clock[seq], clock[e["on_seq"]])
-    rows = [(events["run_id"].iloc[0], s, max(0.0, clock[s] - start[s])) for s in clock]
-    return pd.DataFrame(rows, columns=["run_id", "seq", "cached_duration"])
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    run: Clocks | None = None
+    for pdf in batches:
+        done: list[tuple] = []
+        for run_id, *event in pdf[list(COLUMNS)].itertuples(index=False, name=None):
+            if run is None or run.run_id != run_id:
+                done += run.rows() if run is not None else []
+                run = Clocks(run_id)
+            run.take(*event)
+        if done:
+            yield pd.DataFrame(done, columns=["run_id", "seq", "cached_duration"])
+    if run is not None:
+        yield pd.DataFrame(run.rows(), columns=["run_id", "seq", "cached_duration"])
 
 
 def cached_durations(events: DataFrame) -> DataFrame:
-    wanted = events.select("run_id", "ord", "e", "seq", "parent_seq", "on_seq", "cached", "duration", "cached_duration")
-    return wanted.groupBy("run_id").applyInPandas(fold_clock, "run_id string, seq int, cached_duration double")
+    """run_id, seq, cached_duration of each span, from events with on_seq on resumes."""
+    number = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(c)
+    took = F.coalesce("duration", F.lit(0.0)) + F.coalesce("cached_duration", F.lit(0.0))
+    kept = events.filter(F.col("e").isin("spawn", "end", "resume") & F.col("seq").isNotNull())
+    kept = kept.select(F.coalesce("run_id", F.lit("")).alias("run_id"), "ord", "e", number("seq"), number("parent_seq"), number("on_seq"), F.coalesce("cached", F.lit(False)).alias("cached"), took.cast("double").alias("took"))
+    ordered = kept.repartition("run_id").sortWithinPartitions("run_id", "ord")
+    return ordered.select(*COLUMNS).mapInPandas(_fold, "run_id string, seq int, cached_duration double")

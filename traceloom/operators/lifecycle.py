@@ -7,18 +7,18 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.shared import materialise
+from traceloom.shared import Tables
 
 
 def runs_listed(runs: DataFrame, run_steps: DataFrame) -> DataFrame:
-    """runs with their number of steps and whether each is its entry's newest (and newest that ended well); oldest first."""
+    """runs with their number of steps and whether each is its entry's newest (and newest that ended well)."""
     steps = run_steps.groupBy("run_id").agg(F.count(F.lit(1)).alias("steps"))
     newest = runs.groupBy("entry").agg(
         F.max_by("run_id", F.struct("started_at", "run_id")).alias("_new"),
         F.max_by("run_id", F.when(F.col("status") == "ok", F.struct("started_at", "run_id"))).alias("_ok"),
     )
     out = runs.join(newest, "entry").join(steps, "run_id", "left").withColumn("steps", F.coalesce("steps", F.lit(0)))
-    return out.withColumn("is_latest", F.col("run_id") == F.col("_new")).withColumn("is_latest_ok", F.coalesce(F.col("run_id") == F.col("_ok"), F.lit(False))).drop("_new", "_ok").orderBy("started_at", "run_id")
+    return out.withColumn("is_latest", F.col("run_id") == F.col("_new")).withColumn("is_latest_ok", F.coalesce(F.col("run_id") == F.col("_ok"), F.lit(False))).drop("_new", "_ok")
 
 
 def expired(listed: DataFrame, before: datetime | str, keep_latest: bool = True) -> DataFrame:
@@ -36,15 +36,19 @@ def step_ordinals(events: DataFrame) -> DataFrame:
 
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """node: all that can be reached from roots(node) over edges(src, dst); each round moves only what is new."""
-    seen = materialise(roots.select("node").distinct(), "reach")
-    frontier = seen
-    while True:
+    """node: all that can be reached from roots(node) over edges(src, dst).
+
+    The edges are worked out once; a round reads them, and writes only the nodes that are new.
+    """
+    ways, tables = Tables(roots.sparkSession, "reach-edges"), Tables(roots.sparkSession, "reach")
+    edges = ways.save(edges.select("src", "dst").filter("dst is not null"))
+    seen = frontier = tables.save(roots.select("node").distinct())
+    while not frontier.isEmpty():
         step = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = materialise(step.join(seen, "node", "left_anti"), "reach-new")
-        if frontier.isEmpty():
-            return seen
-        seen = materialise(seen.unionByName(frontier), "reach")
+        frontier = tables.save(step.join(seen, "node", "left_anti"))
+        seen = tables.together(frontier, tables.written)
+    ways.drop_all_but()
+    return seen
 
 
 def live_records(runs: DataFrame, run_steps: DataFrame, children: DataFrame) -> DataFrame:

@@ -38,6 +38,36 @@ def without_dangling(records: DataFrame, children: DataFrame, existing: DataFram
     return records.join(broken, "record_id", "left_anti")
 
 
+def dangling(children: DataFrame, existing: DataFrame) -> DataFrame:
+    """record_id, n_dangling: how many children of each record are gone, of those that miss one."""
+    here = existing.select(F.col("record_id").alias("child_record_id"))
+    return children.join(here, "child_record_id", "left_anti").groupBy("record_id").agg(F.count(F.lit(1)).alias("n_dangling"))
+
+
+def stored_once(values: DataFrame) -> DataFrame:
+    """content_hash, refs, size, first: each value of values(content_hash, size, ref) once, and who refers to it."""
+    return values.groupBy("content_hash").agg(F.count(F.lit(1)).alias("refs"), F.max("size").alias("size"), F.min("ref").alias("first"))
+
+
+def payload_sizes(once: DataFrame) -> DataFrame:
+    """size of all references, own_size of what is stored, refs and blobs: one row from stored_once()."""
+    return once.agg(F.sum(F.col("size") * F.col("refs")).alias("size"), F.sum("size").alias("own_size"), F.sum("refs").alias("refs"), F.count(F.lit(1)).alias("blobs"))
+
+
+def record_info(records: DataFrame) -> DataFrame:
+    """Records as they are listed: no payload is read, only columns of the record."""
+    return records.select("comp_id", "record_id", "short_name", "version", "error", "result_hash", "duration", "own_duration", "cached_duration", "ts_created")
+
+
+def backlinks(overlay: DataFrame, records: DataFrame) -> DataFrame:
+    """comp_id, run_id, carried_as: which runs pinned a computation's records for another, for computations that have records.
+
+    overlay(run_id, comp_id, donor_comp_id).
+    """
+    links = overlay.select(F.col("donor_comp_id").alias("comp_id"), "run_id", F.col("comp_id").alias("carried_as")).distinct()
+    return links.join(records.select("comp_id"), "comp_id", "left_semi")
+
+
 def with_payload(records: DataFrame, blobs: DataFrame) -> DataFrame:
     """Records with their payload and whether it was found."""
     stored = blobs.select(F.col("content_hash").alias("result_hash"), "payload", F.lit(True).alias("_there"))

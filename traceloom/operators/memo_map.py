@@ -29,21 +29,20 @@ def _uuid7() -> uuid.UUID:
     return uuid.UUID(int=value)
 
 
-def memo_map(args: DataFrame, comp_id: Column, records: DataFrame, body: Callable[[dict[str, Any]], str], overlay: DataFrame | None = None, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def memo_map(args: DataFrame, comp_id: Column, records: DataFrame, body: Callable[[dict[str, Any]], str] | Column, overlay: DataFrame | None = None, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(args with comp_id, result, error and origin; the new records(comp_id, record_id, result, error)).
 
     records(comp_id, record_id, result, error, ts_created, ...): a hit is the newest without error that fits `where`;
     overlay(comp_id, result) goes before hits. Equal computations of one call run once. A row whose body raises gets
-    its error, and the others go on; errors are never hits. New records are written before they are read twice.
+    its error, and the others go on; errors are never hits. New records are written before they are read twice. A body
+    that is a column of args stays in the JVM; its row's failure is the query's.
     """
     keyed = args.withColumn("comp_id", comp_id)
     sound = F.col("error").isNull() if where is None else F.col("error").isNull() & where
-    hits = newest(records, ["comp_id"], where=sound).select("comp_id", F.col("result").alias("_hit"))
+    known = newest(records, ["comp_id"], where=sound).select("comp_id", F.lit(1).alias("_rank"), F.col("result").alias("_known"))
     if overlay is not None:
-        pins = overlay.select("comp_id", F.col("result").alias("_pin"))
-    else:
-        pins = hits.select("comp_id", F.col("_hit").alias("_pin")).limit(0)
-    known = hits.select("comp_id").union(pins.select("comp_id"))
+        pins = overlay.select("comp_id", F.lit(0).alias("_rank"), F.col("result").alias("_known"))
+        known = known.unionByName(pins).groupBy("comp_id").agg(F.min_by(F.struct("_rank", "_known"), "_rank").alias("_k")).select("comp_id", "_k.*")
     misses = keyed.join(known, "comp_id", "left_anti").dropDuplicates(["comp_id"])
     names = args.columns
 
@@ -58,9 +57,13 @@ def memo_map(args: DataFrame, comp_id: Column, records: DataFrame, body: Callabl
             new = pd.DataFrame(out, columns=["comp_id", "result", "error"])
             yield new.assign(record_id=new_record_ids(len(new)))
 
-    fresh = materialise(misses.mapInPandas(run, "comp_id string, result string, error string, record_id string"), "memo")
-    made = fresh.select("comp_id", F.col("result").alias("_made"), F.col("error").alias("_error"))
-    rows = keyed.join(pins, "comp_id", "left").join(hits, "comp_id", "left").join(made, "comp_id", "left")
-    origin = F.when(F.col("_pin").isNotNull(), "carried").when(F.col("_hit").isNotNull(), "recalled").otherwise("created")
-    out = rows.withColumn("result", F.coalesce("_pin", "_hit", "_made")).withColumn("error", F.when(origin == "created", F.col("_error"))).withColumn("origin", origin)
-    return out.drop("_pin", "_hit", "_made", "_error"), fresh
+    if isinstance(body, Column):
+        new = misses.select("comp_id", body.cast("string").alias("result"), F.lit(None).cast("string").alias("error"), F.expr("uuid()").alias("record_id"))
+    else:
+        new = misses.mapInPandas(run, "comp_id string, result string, error string, record_id string")
+    fresh = materialise(new, "memo")
+    made = fresh.select("comp_id", F.lit(2).alias("_rank"), F.col("result").alias("_known"), F.col("error").alias("_error"))
+    rows = keyed.join(known.withColumn("_error", F.lit(None).cast("string")).unionByName(made), "comp_id", "left")
+    origin = F.when(F.col("_rank") == 0, "carried").when(F.col("_rank") == 1, "recalled").otherwise("created")
+    out = rows.withColumn("result", F.col("_known")).withColumn("error", F.col("_error")).withColumn("origin", origin)
+    return out.drop("_rank", "_known", "_error"), fresh

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.schema import STATUS_WEIGHT
-from traceloom.shared import materialise
+from traceloom.shared import Tables, materialise
 
 METRICS = ("size", "own_size", "duration", "own_duration", "cached_duration")
 
@@ -108,19 +108,19 @@ def _is_circular(table: DataFrame) -> bool:
 def closure(edges: DataFrame) -> DataFrame:
     """anc, desc, dist over edges(child, parent) of a forest, each node also its own; pointer jumping.
 
-    A round doubles the distance covered, and only its newest, farthest pairs are extended, so each pair is made once.
+    A round doubles the distance covered, and only its newest, farthest pairs are extended and written, so each pair is made once.
     """
+    tables = Tables(edges.sparkSession, "closure")
     nodes = edges.select(F.col("child").alias("n")).union(edges.select(F.col("parent").alias("n"))).distinct()
     own = nodes.select(F.col("n").alias("anc"), F.col("n").alias("desc"), F.lit(0).cast("bigint").alias("dist"))
-    pairs = materialise(own.unionByName(edges.select(F.col("parent").alias("anc"), F.col("child").alias("desc"), F.lit(1).cast("bigint").alias("dist"))), "closure")
-    reach = 1
+    pairs, reach = tables.save(own.unionByName(edges.select(F.col("parent").alias("anc"), F.col("child").alias("desc"), F.lit(1).cast("bigint").alias("dist")))), 1
     while True:
         upper = pairs.filter("dist > 0").select("anc", F.col("desc").alias("mid"), F.col("dist").alias("_up"))
         lower = pairs.filter(F.col("dist") == reach).select(F.col("anc").alias("mid"), "desc")
-        farther = materialise(upper.join(lower, "mid").select("anc", "desc", (F.col("_up") + reach).alias("dist")), "closure-step")
+        farther = tables.save(upper.join(lower, "mid").select("anc", "desc", (F.col("_up") + reach).alias("dist")))
         if farther.isEmpty():
             return pairs
-        pairs, reach = materialise(pairs.unionByName(farther), "closure"), reach * 2
+        pairs, reach = tables.together(farther, tables.written), reach * 2
 
 
 def roll_up(own: DataFrame, pairs: DataFrame, key: str = "key", value: str = "amount") -> DataFrame:
@@ -129,6 +129,30 @@ def roll_up(own: DataFrame, pairs: DataFrame, key: str = "key", value: str = "am
     return summed.join(pairs, summed["node"] == pairs["desc"]).groupBy("anc", key).agg(F.sum(value).alias(value))
 
 
+def _jumps(edges: DataFrame, tables: Tables):
+    """Tables of (node, up) with the ancestor 1, 2, 4, ... above, each written; they end when no node has one."""
+    jump = tables.save(edges.select(F.col("child").alias("node"), F.col("parent").alias("up")))
+    while not jump.isEmpty():
+        yield jump
+        jump = tables.save(jump.withColumnRenamed("up", "_mid").join(jump.select(F.col("node").alias("_mid"), "up"), "_mid").select("node", "up"))
+
+
+def roll_up_tree(own: DataFrame, edges: DataFrame, key: str = "key", value: str = "amount") -> DataFrame:
+    """As roll_up(), without the pairs: after round k each node has the sums of what is less than 2^k below it.
+
+    A round adds to each node the sums of the nodes 2^k below; its rows are at most the nodes and keys, and the rounds the
+    logarithm of the depth. edges(child, parent) of a forest.
+    """
+    sums_of, ways = Tables(own.sparkSession, "roll-up"), Tables(own.sparkSession, "jumps")
+    sums = sums_of.save(own.groupBy("node", key).agg(F.sum(value).alias(value)))
+    for jump in _jumps(edges, ways):
+        lifted = sums.join(jump, "node").groupBy(F.col("up").alias("node"), key).agg(F.sum(value).alias(value))
+        sums = sums_of.save(sums.unionByName(lifted).groupBy("node", key).agg(F.sum(value).alias(value)))
+        sums_of.drop_all_but(sums_of.written[-1])
+    ways.drop_all_but()
+    return sums.withColumnRenamed("node", "anc")
+
+
 def rolled_cost(traces: DataFrame, pairs: DataFrame) -> DataFrame:
     """anc, key, amount of the costs in traces(node, cost map)."""
     own = traces.select("node", F.explode("cost").alias("key", "amount"))
@@ -160,6 +184,19 @@ def active_time(marks: DataFrame, key: list[str], time: str, step: str, order: l
     return spent.groupBy(*key).agg(F.sum(F.when(F.col("_level") > 0, F.col("_next") - F.col(time)).otherwise(0)).alias("active"))
 
 
+def sessions(rows: DataFrame, key: list[str], time: str, order: list[str], gap: int) -> DataFrame:
+    """rows with `session`, from 1 on within their key: a new one after a gap of more than `gap`."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    fresh = F.when(F.col(time) - F.lag(time).over(w) <= gap, 0).otherwise(1)
+    return rows.withColumn("_fresh", fresh).withColumn("session", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+
+
+def next_after(rows: DataFrame, key: list[str], order: str, first: Column, then: Column, name: str) -> DataFrame:
+    """Rows of the kind `first`, with the `order` of the next of the kind `then` in their key."""
+    after = Window.partitionBy(*key).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    return rows.withColumn(name, F.min(F.when(then, F.col(order))).over(after)).filter(first)
+
+
 def peak(marks: DataFrame, key: list[str], step: str, order: list[str]) -> DataFrame:
     """key, peak: the highest running sum of `step`."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -199,13 +236,28 @@ def stitch_each(children: DataFrame, roots: DataFrame, first_seq: int = 1) -> Da
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
-    # The order of one tree is one sequence: its rows, no payloads, meet in one task.
-    numbered = rows.withColumn("seq", (F.row_number().over(Window.partitionBy("root").orderBy("path")) + first_seq - 1).cast("bigint"))
+    numbered = in_order(rows, "root", "path", "seq").withColumn("seq", F.col("seq") + first_seq - 1)
     up = numbered.select("root", F.col("path").alias("_up"), F.col("seq").alias("parent_seq"))
     numbered = numbered.withColumn("_up", F.when(F.size("path") > 0, F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))))
     return numbered.join(up, ["root", "_up"], "left").select("root", "seq", "parent_seq", "record_id", F.size("path").cast("bigint").alias("depth"), "path")
 
 
+def in_order(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """rows with their number from 1 on within their key, by `order`, which is unique there; however many a key has, no task holds them all.
+
+    Rows are dealt by ranges and sorted, and a row's number is its place in its range and what is before that.
+    """
+    spark = rows.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(ranges, key, order).sortWithinPartitions(key, order)
+    dealt = materialise(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ordered")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a range
+    bases = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    placed = dealt.join(bases, "_part").withColumn("_at", F.col("_base") + F.col("_at"))
+    first = placed.groupBy(F.col(key).alias("_key")).agg(F.min("_at").alias("_first"))
+    return placed.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn(name, (F.col("_at") - F.col("_first") + 1).cast("bigint")).drop("_part", "_at", "_base", "_key", "_first")
+
+
 def within(pairs: DataFrame, ancestor: str) -> DataFrame:
     """desc: a node and all below it."""
     return pairs.filter(F.col("anc") == ancestor).select("desc")
@@ -216,6 +268,22 @@ def above_flagged(flagged: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(flagged.select(F.col("node").alias("desc")), "desc", "left_semi").select("anc").distinct()
 
 
+def flagged_tree(flagged: DataFrame, edges: DataFrame) -> DataFrame:
+    """As above_flagged(), from edges(child, parent) of a forest, in rounds of at most its nodes."""
+    tables, ways = Tables(edges.sparkSession, "flagged"), Tables(edges.sparkSession, "jumps")
+    marked = tables.save(flagged.select("node").distinct())
+    for jump in _jumps(edges, ways):
+        marked = tables.save(marked.union(marked.join(jump, "node").select("up")).distinct())
+        tables.drop_all_but(tables.written[-1])
+    ways.drop_all_but()
+    return marked.withColumnRenamed("node", "anc")
+
+
+def refreshed_labels(changed: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels(node, label) of what changed(node) and all above it, up to the roots."""
+    return labels.join(flagged_tree(changed, edges).withColumnRenamed("anc", "node"), "node", "left_semi")
+
+
 def preorder(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """root, node, depth, nth: each tree depth first, siblings by name; a level a round."""
     level = materialise(roots.select(F.col("node").alias("root"), "node", F.array("node").alias("path")), "order")
@@ -229,8 +297,7 @@ def preorder(edges: DataFrame, roots: DataFrame) -> DataFrame:
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
-    nth = F.row_number().over(Window.partitionBy("root").orderBy("path"))
-    return rows.select("root", "node", (F.size("path") - 1).cast("bigint").alias("depth"), nth.cast("bigint").alias("nth"))
+    return in_order(rows, "root", "path", "nth").select("root", "node", (F.size("path") - 1).cast("bigint").alias("depth"), "nth")
 
 
 def merged_events(traces: DataFrame, spawns: DataFrame, key: str = "record_id") -> DataFrame:

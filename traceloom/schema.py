@@ -12,6 +12,7 @@ RECORD_EVENTS = "comp_id string, record_id string, ord bigint, kind string, ts d
 BLOBS = "content_hash string, payload string, size bigint"
 RUNS = "run_id string, entry string, started_at timestamp, ended_at timestamp, status string"
 RUN_STEPS = "run_id string, ordinal int, name string, comp_id string, record_id string, origin string"
+RUN_EVENTS = "run_id string, ord bigint, raw string"
 OVERLAYS = "run_id string, comp_id string, donor_comp_id string, donor_record_id string"
 TRACE = (
     "e string, ts double, seq int, parent_seq int, name string, origin string, comp_id string, record_id string, record_path string, "

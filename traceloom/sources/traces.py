@@ -25,9 +25,16 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("ord", "line")).filter(F.trim("line") != "")
 
 
-def read_trace(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Run events of trace files: run_id, ord and the columns of schema.TRACE, with readers' defaults, and the raw line."""
-    event = F.from_json("line", TRACE, {"mode": "PERMISSIVE"}).alias("event")
+def read_trace(spark: SparkSession, path: str | list[str], names: dict[str, str] | None = None) -> DataFrame:
+    """Run events of trace files: run_id, ord and the columns of schema.TRACE, with readers' defaults, and the raw line.
+
+    names: for columns that a foreign trace calls otherwise, its names for them; they count where ours are absent.
+    """
+    event = F.from_json("line", TRACE, {"mode": "PERMISSIVE"})
+    for ours, theirs in (names or {}).items():
+        kind = next(f.dataType for f in spark.createDataFrame([], TRACE).schema if f.name == ours)
+        event = event.withField(ours, F.coalesce(event[ours], F.get_json_object("line", f"$.{theirs}").cast(kind)))
+    event = F.when(F.from_json("line", TRACE).isNotNull(), event).alias("event")
     rows = numbered_lines(spark, path).select(F.regexp_extract("file", RUN_OF_PATH, 1).alias("run_id"), F.col("ord").cast("bigint").alias("ord"), "line", event)
     return with_defaults(rows.filter(F.col("event.e").isNotNull()).select("run_id", "ord", "event.*", F.col("line").alias("raw")))
 
@@ -48,6 +55,17 @@ def read_json_documents(spark: SparkSession, path: str | list[str], schema: str)
     return rows.select("*", F.col("_metadata.file_path").alias("file")).filter("_corrupt is null").drop("_corrupt")
 
 
+def lenient_fields(kwargs: Column) -> list[Column]:
+    """A stored trace's fields out of their JSON; what is not of its field's form is null, an absent level is info."""
+    at = lambda name: F.get_json_object(kwargs, f"$.{name}")
+    cost = F.map_filter(F.from_json(at("cost"), "map<string,string>"), lambda k, v: v.try_cast("double").isNotNull())
+    return [
+        at("detail").alias("detail"), at("state").alias("state"), F.coalesce(at("level"), F.lit("info")).alias("level"),
+        F.transform(F.from_json(at("progress"), "array<string>"), lambda v: v.try_cast("double").cast("int")).alias("progress"),
+        F.transform_values(cost, lambda k, v: v.cast("double")).alias("cost"), F.coalesce(at("edge").try_cast("boolean"), F.lit(False)).alias("edge"),
+    ]
+
+
 def run_id_parts(run_id: Column) -> tuple[Column, Column]:
     """(entry, time) of `{entry}-{iso time}`; entries may have hyphens; nulls where the form is another."""
     pattern = r"^(.+)-(\d{4}-\d{2}-\d{2}T[\d:.]+)$"
@@ -122,5 +140,9 @@ class LineSink(Sink):
 def events_frame(spark: SparkSession, events: Iterable[dict[str, Any]], run_id: str) -> DataFrame:
     """Driver events as a table, in their order."""
     lines = [(run_id, i, json.dumps(event_dict(e), default=str)) for i, e in enumerate(events)]
-    rows = spark.createDataFrame(lines, "run_id string, ord bigint, raw string")
+    return parsed_events(spark.createDataFrame(lines, "run_id string, ord bigint, raw string"))
+
+
+def parsed_events(rows: DataFrame) -> DataFrame:
+    """run_id, ord, the columns of schema.TRACE and raw, from rows(run_id, ord, raw)."""
     return with_defaults(rows.select("run_id", "ord", F.from_json("raw", TRACE).alias("event"), "raw").select("run_id", "ord", "event.*", "raw"))

@@ -11,10 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from traceloom.functions import formats
+from traceloom.operators.inspection import generic_fields
 from traceloom.schema import TRACE
 
 SPAN = "run_id string, seq int, ord long, name string, parent_seq int, status string, spawn_ts double, start_ts double, end_ts double, error string"
 STATE = "ord long, name string, parent_seq int, status string, spawn_ts double, start_ts double, end_ts double, error string"
+KEPT_MS = 3_600_000  # how long after its end a span's state is kept, for events that come late or twice
+KNOWN = (*(f.strip().split(" ")[0] for f in TRACE.replace("<kind:string,seq:int,id:int,ids:array<int>>", "").replace("<string,double>", "").split(", ")), "run_id", "ord", "event_time")
 KINDS = ("spawn", "start", "end", "error", "cancel")
 
 
@@ -31,6 +34,9 @@ def _clean(v):
 def fold_span(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One span's state after a batch of its events, taken in order; what is older than the state is left out."""
     run_id, seq = key
+    if state.hasTimedOut:
+        state.remove()
+        return
     now = dict(zip([c.split()[0] for c in STATE.split(", ")], state.get, strict=True)) if state.exists else None
     events = pd.concat(list(batches)).sort_values("ord")
     for e in events.to_dict("records"):
@@ -52,13 +58,22 @@ def fold_span(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         now["ord"] = e["ord"]
     if now is not None:
         state.update(tuple(now.values()))
+        if now["end_ts"] is not None:
+            state.setTimeoutDuration(KEPT_MS)
         yield pd.DataFrame([{"run_id": run_id, "seq": seq} | now]).astype({"ord": "int64", "seq": "int32", "parent_seq": "Int32"})
 
 
 def live_spans(events: DataFrame) -> DataFrame:
     """A row for each span that a batch changed, as it stands after it; for update mode."""
     own = events.filter(F.col("e").isin(*KINDS)).select("run_id", "seq", "ord", "e", "name", "parent_seq", "ts", "cached", "err")
-    return own.groupBy("run_id", "seq").applyInPandasWithState(fold_span, SPAN, STATE, "update", GroupStateTimeout.NoTimeout)
+    return own.groupBy("run_id", "seq").applyInPandasWithState(fold_span, SPAN, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def replayed(traces: DataFrame, per_second: int = 10, speed: float = 1.0) -> DataFrame:
+    """A stream that gives the rows of traces(offset seconds, ...) again, each as late as its offset at that speed says, to a tick of 1 / per_second."""
+    ticks = traces.sparkSession.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    due = traces.withColumn("tick", F.floor(F.col("offset") / speed * per_second).cast("bigint"))
+    return ticks.select(F.col("value").alias("tick"), F.col("timestamp").alias("told_at")).join(due, "tick").drop("tick")
 
 
 def live_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
@@ -94,8 +109,8 @@ def fan_out(stream: DataFrame, writers: list[Callable[[DataFrame, int], None]],
 
 def rendered(events: DataFrame) -> DataFrame:
     """run_id, ord, line: trace events as text."""
-    none = F.lit(None).cast("map<string,string>")
-    line = formats.trace_line(F.coalesce("msg", F.lit("")), F.col("state"), F.col("progress"), F.col("cost"), none)
+    others = generic_fields(F.col("raw"), KNOWN) if "raw" in events.columns else F.lit(None).cast("map<string,string>")
+    line = formats.trace_line(F.coalesce("msg", F.lit("")), F.col("state"), F.col("progress"), F.col("cost"), others)
     return events.filter("e = 'trace'").select("run_id", "ord", formats.coloured(line, formats.level_colour(F.col("level"))).alias("line"))
 
 
