@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -133,6 +134,43 @@ def test_pages_are_compared_with_the_nearest_url(spark):
     assert page_diff.extract(pages.limit(0)).count() == 0
 
 
+class Article(HTMLParser):
+    """Another reading of the test pages: blocks of text inside <article>, tag by tag."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks, self.open = 0, [""], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.open += bool(self.inside) and tag in ("script", "style")
+        if tag in page_diff.BLOCKS:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if tag in page_diff.BLOCKS:
+            self.blocks.append("")
+        self.inside -= tag == "article"
+        self.open -= bool(self.inside) and tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.open:
+            self.blocks[-1] += data
+
+
+@pytest.mark.parametrize("parts", [2, 7])
+def test_every_test_page_gives_its_article(spark, parts):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r for r in page_diff.extract(pages, parts).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        other = Article()
+        other.feed(r["html"] or "")
+        want = "\n".join(b for b in (" ".join(b.split()) for b in other.blocks) if b)
+        assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
+
+
 def test_entropy_levels_equal_those_of_each_window():
     w, buf = feature_digest.WINDOW, np.frombuffer(random.Random(1).randbytes(50) * 3 + b"aaaa" * 30, np.uint8) % 7
     got = feature_digest.entropy_levels(buf)

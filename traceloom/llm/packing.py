@@ -8,7 +8,8 @@ result says, for each length, which ranks of its pieces go to which sequences an
 count within its partition plus the counts of the partitions before, so no length is gathered in one task.
 
 Defined results: a null text counts as empty, so it is the end id alone; repeated rows are packed as often as
-they occur; an empty table gives no row. Extra columns are not read.
+they occur; pieces of one length tie, and take their places in any order. A very long text is tokenised as a whole, in one
+task, and cut into pieces. An empty table gives no row. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -47,13 +48,16 @@ def patterns(bins: int = BINS, parts: int = PARTS) -> list[tuple[int, ...]]:
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 of least |a x - b|, by active sets on the normal equations."""
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x >= 0 of least |a x - b|, by active sets on the normal equations.
+
+    Each round lessens the distance, so it ends; should rounding keep it from that, after three rounds an unknown.
+    """
     n = a.shape[1]
     gram, goal = a.T @ a, a.T @ b
     x, passive = np.zeros(n), np.zeros(n, bool)
     tol = 1e-9 * max(1.0, float(np.abs(goal).max(initial=0)))
-    for _ in range(rounds):
+    for _ in range(3 * n):
         w = np.where(passive, -np.inf, goal - gram @ x)
         j = int(np.argmax(w))
         if w[j] <= tol:

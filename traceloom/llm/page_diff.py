@@ -8,8 +8,11 @@ longest common subsequence, and the lines they share are deleted as the site's o
 take part in the alignment but are not deleted.
 
 Defined results: null or empty html gives an empty text; a page without neighbour in its host, or without
-URL, is judged by its markup alone; pages of one URL are ordered by page_id. Unclosed elements end with their
-page, and a left-out element also where an <article> or <main> starts. Extra columns are not read.
+URL, is judged by its markup alone; pages of one URL are ordered by page_id, and repeated rows are pages of their own, whose
+lines outside of articles are then shared. Unclosed elements end with their
+page, and a left-out element also where an <article> or <main> starts. Of equally long common subsequences any may be
+taken. A very long page is parsed whole, in one task, in a few times its own size. An empty table gives an empty result.
+Extra columns are not read.
 """
 
 from __future__ import annotations
