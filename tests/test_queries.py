@@ -46,10 +46,11 @@ def test_the_rest_stands_alone(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})
 
 
+@pytest.mark.skipif(not (ROOT / "traceloom/llm").exists(), reason="the corpus operators are not there")
 def test_a_missing_dependency_takes_only_the_corpus_operators_down():
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'stack_latest_ok' in q and not any(n.startswith('op') or n == 'pipeline' for n in q)"
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env={"PYTHONPATH": str(ROOT), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
-    assert "left out" in out.stdout
+    assert "left out" in out.stderr
 
 
 def test_nothing_else_imports_the_corpus_operators():
