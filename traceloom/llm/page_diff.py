@@ -198,5 +198,6 @@ def extract(pages: DataFrame, parts: int | None = None) -> DataFrame:
         return (None if pd.isna(wait[1]) else int(wait[1]), wait[2], text, len(text))
 
     packed = keyed.mapInPandas(parse, "part int, ghost int, key string, page_id long, url string, packed binary")
-    ordered = packed.repartition(n, "part").sortWithinPartitions("part", "ghost", "key", "page_id")
+    # By number: hashed, several ranges would meet in one task and other tasks stay empty.
+    ordered = packed.repartitionById(n, F.col("part")).sortWithinPartitions("part", "ghost", "key", "page_id")
     return ordered.mapInPandas(compare, "page_id long, url string, text string, n_chars long")
