@@ -346,5 +346,6 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     ghost = F.col("place") >= len(heads) if heads else F.lit(False)
     dealt = dealt.select(F.when(ghost, F.col("place") - len(heads)).otherwise(F.col("place")).alias("part"), ghost.alias("ghost"), "doc_id", "mark", "text")
     # The first row of a range is read once more behind the range before it; of rows that repeat it, one is enough.
-    ordered = dealt.repartition(n, "part").sortWithinPartitions("part", "ghost", "doc_id", "mark", "text")
+    # By number: hashed, several ranges would meet in one task and other tasks stay empty.
+    ordered = dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "ghost", "doc_id", "mark", "text")
     return ordered.mapInPandas(walk, ROWS)
