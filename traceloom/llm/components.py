@@ -19,17 +19,17 @@ def keyed_join(left: DataFrame, right: DataFrame, column: str, how: str = "inner
 
 def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, comp for each node of links(a, b); comp is the least node that can be reached."""
-    both = scratch.save(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-links")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp"))
-    labels = scratch.save(labels, f"{name}-0")
+    # With each node its own neighbour, a round's least neighbour is never worse than the node's own label.
+    pairs = links.select("a", "b").union(links.select("b", "a"))
+    both = scratch.save(pairs.union(pairs.select("a", F.col("a").alias("b"))).distinct(), f"{name}-links")
+    labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")), f"{name}-0")
     step = 0
     while True:
         step += 1
-        reach = keyed_join(both.withColumnRenamed("b", "node"), labels, "node").groupBy("a").agg(F.min("comp").alias("near"))
-        moved = keyed_join(labels.withColumnRenamed("comp", "old"), reach.withColumnRenamed("a", "node"), "node").select("node", "old", F.least("old", "near").alias("comp"))
+        own = F.when(F.col("a") == F.col("node"), F.col("comp"))
+        reach = keyed_join(both.withColumnRenamed("b", "node"), labels, "node").groupBy("a").agg(F.max(own).alias("old"), F.min("comp").alias("node"))
         # A label is itself a node with a label, which is at least as good.
-        jumped = keyed_join(moved.withColumnRenamed("node", "_n").withColumnRenamed("comp", "node"), labels.withColumnRenamed("comp", "far"), "node")
-        jumped = jumped.select(F.col("_n").alias("node"), "old", F.least("node", "far").alias("comp"))
+        jumped = keyed_join(reach, labels, "node").select(F.col("a").alias("node"), "old", "comp")
         done = scratch.save(jumped, f"{name}-{step}")
         labels = done.select("node", "comp")
         if step > 1:

@@ -108,7 +108,7 @@ def _verifier(percent: int):
 
 def _block_tester(percent: int):
     def test(rows: list[tuple], band: int, split: int) -> list[tuple[bytes, bytes]]:
-        """rows: (whether it asks, whether it is minor, node, comp, set, bands, again); split: the band of `again` they share, or -1."""
+        """Links between components. rows: (whether it asks, whether it is minor, node, comp, set, bands, again); split: the band of `again` they share, or -1."""
         asking, asked = [r for r in rows if r[0]], [r for r in rows if not r[0]]
         if not asking or not asked:
             return []
@@ -128,7 +128,7 @@ def _block_tester(percent: int):
             for k in at:
                 # Two minor nodes ask each other; once is enough.
                 if comp[k] != mine and (not minor[k] or node < nodes[k]) and similar(own, sets[k], percent):
-                    links.append((node, nodes[k]))
+                    links.append((c, asked[k][3]))
                     comp[comp == comp[k]] = mine
         return links
 
@@ -216,12 +216,15 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     placed = scratch.save(placed, "placed")
     blocks = _open_blocks(placed, sets).repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y")
     more = scratch.save(blocks.mapInPandas(_block_tester(percent), "a binary, b binary"), "more")
+    joined = None
     if not more.isEmpty():
-        labels = connected(links.unionByName(more), scratch, "all")
+        joined = connected(more, scratch, "all").select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
     for done in ("shared", "sets", "pairs", "links", "placed", "more"):
         scratch.drop(done)
 
     found = keyed_join(nodes.select("node", "least"), labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    if joined is not None:
+        found = keyed_join(found, joined, "comp", "left").select("node", "least", F.coalesce("whole", "comp").alias("comp"))
     first = found.groupBy("comp").agg(F.min("least").alias("first"))
     found = keyed_join(found, first, "comp").select("node", "first")
     return keyed_join(signed.select("doc_id", "mark", "n_shingles", "node"), found, "node", "left").select("doc_id", "mark", "n_shingles", "first")
